@@ -5,11 +5,11 @@ case) as 64-bit hashes; with fewer words the whole sequence is the one token. Do
 class, named by a 64-bit hash of the set: all further work is on classes, so copies cost nothing. Two classes link when
 their Jaccard similarity is at least ``percent`` / 100.
 
-If x and y link, every set of |x| - ceil(percent/100 |x|) + 1 tokens of x shares one with some such set of y when both
-are the first in one global order. Orders here put the most frequent tokens last (a bounded list, counted over all
-documents) and are random otherwise, each with its own seed. Classes that share a prefix token under the first order
-are candidates, if their sizes allow; candidates that share no prefix token under each further order go; what is left
-is verified on whole sets.
+If x and y link, the first |x| - ceil(percent/100 |x|) + k tokens of x and the first so many of y in any global order
+share at least k; k here is one and a tenth of the smaller set. Orders put the most frequent tokens last (a bounded list,
+counted over all documents) and are random otherwise, each with its own seed. Classes that share enough prefix tokens
+under the first order are candidates, if their sizes allow; candidates that share too few under each further order go;
+what is left is verified on whole sets.
 
 A group of near copies isn't expanded into pairs: each class is first verified against one class of those it meets, and
 components are built; then only candidates in different components are left to compare, all of them.
@@ -37,7 +37,9 @@ WORDS, PERCENT = 5, 80
 #: Seeds of the global orders; the first makes candidates, the others filter them.
 SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
 #: Most tokens in the list of frequent ones; a token gets there if it is in one of so many documents of a block.
-FREQUENT, ONE_IN = 100_000, 256
+FREQUENT, ONE_IN = 100_000, 1024
+#: Classes whose documents are found by a broadcast of their ids, 16 bytes each; more are found by a shuffled join.
+MAX_BROADCAST_ROWS = 2_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOP = np.uint64(1 << 63)
 
@@ -61,10 +63,15 @@ def name(tokens: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def share(n: int) -> int:
+    """Prefix tokens that a set of n tokens shares with every set that it links to, if theirs isn't smaller."""
+    return 1 + n // 10
+
+
 def prefix(tokens: np.ndarray, seed: int, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first tokens in an order, as many as any partner must share one of."""
+    """The first tokens in an order, as many as any partner must share some of."""
     n = len(tokens)
-    size = n - -(-percent * n // 100) + 1
+    size = n - -(-percent * n // 100) + share(n)
     if size >= n:
         return tokens
     key = mixed(tokens ^ np.uint64(seed)) >> np.uint64(1)
@@ -79,7 +86,7 @@ def linked(x: np.ndarray, y: np.ndarray, frequent: np.ndarray, percent: int = PE
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
     for seed in SEEDS[1:]:
-        if not len(np.intersect1d(prefix(x, seed, frequent, percent), prefix(y, seed, frequent, percent), assume_unique=True)):
+        if len(np.intersect1d(prefix(x, seed, frequent, percent), prefix(y, seed, frequent, percent), assume_unique=True)) < share(min(len(x), len(y))):
             return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -95,7 +102,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
         def close() -> None:
             if state["block"]:
                 found, n = np.unique(np.concatenate(state["block"]), return_counts=True)
-                often = n >= max(4, state["docs"] / ONE_IN)
+                often = n >= max(3, state["docs"] / ONE_IN)
                 counts.update(dict(zip(found[often].tolist(), n[often].tolist(), strict=True)))
                 state["docs"], state["block"] = 0, []
 
@@ -163,8 +170,9 @@ def components(links: DataFrame) -> DataFrame:
     return edges.selectExpr("a class", "b component").unionByName(roots.withColumn("component", F.col("class")))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, frequent, percent: int) -> DataFrame:  # type: ignore[no-untyped-def]
+def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, frequent, size: int, percent: int) -> DataFrame:  # type: ignore[no-untyped-def]
     """The pairs (a, b) that pass the further filters and link."""
+    sets = written(token_sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), size), "sets")
     x = pairs.join(sets.selectExpr("class a", "tokens x"), "a")
     both = x.join(sets.selectExpr("class b", "tokens y"), "b").select("a", "b", "x", "y")
 
@@ -203,10 +211,10 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
     shared = rare.unionByName(common.join(F.broadcast(firsts), "token"))
 
     fits = lambda x, y: F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-    sets = written(token_sets(docs, rows, shared.select("class").distinct(), size), "sets")
-    met = shared.where("class != first.class").where(fits("n", "first.n")).groupBy("class", F.col("first.class").alias("b")).agg(F.count("*").alias("times"))
-    best = met.groupBy("class").agg(F.max_by("b", F.struct("times", "b")).alias("b")).selectExpr("class a", "b")
-    links = verified(best, sets, frequent, percent)
+    enough = lambda least: F.expr(f"times >= 1 + {least} div 10")
+    met = shared.where("class != first.class").where(fits("n", "first.n")).groupBy("class", F.col("first.class").alias("b")).agg(F.count("*").alias("times"), F.least(F.first("n"), F.first("first.n")).alias("least"))
+    best = met.withColumn("times", 2 * F.col("times")).where(enough("least")).groupBy("class").agg(F.max_by("b", F.struct("times", "b")).alias("b")).selectExpr("class a", "b")
+    links = verified(docs, rows, written(best, "pairs"), frequent, size, percent)
 
     # What the first links leave apart: candidates in different components.
     label = components(links)
@@ -216,7 +224,8 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
     left = placed.join(apart, "token", "left_semi")
     a, b = left.alias("a"), left.alias("b")
     rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.component") != F.col("b.component")) & fits("a.n", "b.n"))
-    more = verified(rest.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct(), sets, frequent, percent)
+    rest = rest.groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(F.count("*").alias("times"), F.least(F.first("a.n"), F.first("b.n")).alias("least")).where(enough("least")).select("a", "b")
+    more = verified(docs, rows, written(rest, "pairs"), frequent, size, percent)
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
@@ -231,7 +240,9 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
 
 def token_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """(class, tokens) of these classes, from one document of each; tokens are little-endian, ascending."""
-    one = rows.where("doc_id is not null").join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    one = written(rows.where("doc_id is not null").join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "chosen")
+    if one.count() <= MAX_BROADCAST_ROWS:
+        one = F.broadcast(one)
 
     def make():  # type: ignore[no-untyped-def]
         shingle = Shingler(size)

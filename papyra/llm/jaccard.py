@@ -5,14 +5,14 @@ case) as 64-bit hashes; with fewer words the whole sequence is the one token. Do
 class, named by a 64-bit hash of the set: all further work is on classes, so copies cost nothing. Two classes link when
 their Jaccard similarity is at least ``percent`` / 100.
 
-If x and y link, the first |x| - ceil(percent/100 |x|) + k tokens of x and the first so many of y in any global order
-share at least k; k here is one and a tenth of the smaller set. Orders put the most frequent tokens last (a bounded list,
-counted over all documents) and are random otherwise, each with its own seed. Classes that share enough prefix tokens
-under the first order are candidates, if their sizes allow; candidates that share too few under each further order go;
-what is left is verified on whole sets.
+If x and y link they have at least m = ceil(percent (|x| + |y|) / (100 + percent)) tokens in common, so that in any global
+order the first |x| - m + 1 tokens of x and the first |y| - m + 1 of y share one. Orders put the most frequent tokens
+last (a bounded list, counted over all documents) and are random otherwise, each with its own seed. Classes that share a
+token there under the first order are candidates; candidates that share none under each further order go; what is left
+is verified on whole sets. With the frequent tokens last, what tells the copies of one text apart comes first.
 
-A group of near copies isn't expanded into pairs: each class is first verified against one class of those it meets, and
-components are built; then only candidates in different components are left to compare, all of them.
+A group of near copies isn't expanded into pairs: in a few rounds each class is verified against one class of those it
+meets, and components are built; then only candidates in different components are left to compare, all of them.
 
 Null and empty texts have no tokens and link with nothing. Rows without a doc_id get their size, no component, and
 connect nothing. Repeated rows get the same result.
@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -40,6 +40,10 @@ SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
 FREQUENT, ONE_IN = 100_000, 1024
 #: Classes whose documents are found by a broadcast of their ids, 16 bytes each; more are found by a shuffled join.
 MAX_BROADCAST_ROWS = 2_000_000
+#: Tokens that are counted together for the list of frequent ones.
+BLOCK = 2_000_000
+#: Rounds of first links; parts that a frequent token's classes are dealt to; classes that a task remembers.
+STARS, PARTS, REMEMBERED = 2, 64, 500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOP = np.uint64(1 << 63)
 
@@ -63,30 +67,31 @@ def name(tokens: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def share(n: int) -> int:
-    """Prefix tokens that a set of n tokens shares with every set that it links to, if theirs isn't smaller."""
-    return 1 + n // 10
+def common(n: int, m: int, percent: int) -> int:
+    """Tokens that sets of these sizes have in common at least if they link."""
+    return -(-percent * (n + m) // (100 + percent))
 
 
-def prefix(tokens: np.ndarray, seed: int, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first tokens in an order, as many as any partner must share some of."""
+def prefix(tokens: np.ndarray, seed: int, frequent: np.ndarray, percent: int = PERCENT, size: int | None = None) -> np.ndarray:
+    """The first tokens in an order, ascending in it: as many as some partner might need, or ``size``."""
     n = len(tokens)
-    size = n - -(-percent * n // 100) + share(n)
-    if size >= n:
-        return tokens
+    size = n - -(-percent * n // 100) + 1 if size is None else size
     key = mixed(tokens ^ np.uint64(seed)) >> np.uint64(1)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         key = np.where(frequent[at] == tokens, key | _TOP, key)
-    return tokens[np.argpartition(key, size - 1)[:size]]
+    chosen = np.argpartition(key, size - 1)[:size] if size < n else np.arange(n)
+    return tokens[chosen[np.argsort(key[chosen])]]
 
 
 def linked(x: np.ndarray, y: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> bool:
     """The further orders' filters, then the exact test."""
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
+    least = common(len(x), len(y), percent)
     for seed in SEEDS[1:]:
-        if len(np.intersect1d(prefix(x, seed, frequent, percent), prefix(y, seed, frequent, percent), assume_unique=True)) < share(min(len(x), len(y))):
+        first = (prefix(t, seed, frequent, percent, len(t) - least + 1) for t in (x, y))
+        if not len(np.intersect1d(*first, assume_unique=True)):
             return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -97,22 +102,23 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def make():  # type: ignore[no-untyped-def]
         shingle, counts = Shingler(size), Counter()
-        state = {"docs": 0, "block": []}
+        state = {"docs": 0, "size": 0, "block": []}
 
         def close() -> None:
             if state["block"]:
                 found, n = np.unique(np.concatenate(state["block"]), return_counts=True)
                 often = n >= max(3, state["docs"] / ONE_IN)
                 counts.update(dict(zip(found[often].tolist(), n[often].tolist(), strict=True)))
-                state["docs"], state["block"] = 0, []
+                state["docs"], state["size"], state["block"] = 0, 0, []
 
         class Rows:
             def __call__(self, doc_id: int | None, text: str | None) -> list[tuple]:
                 tokens = shingle(text)
                 state["docs"] += 1
                 if len(tokens):
-                    state["block"].append(prefix(tokens, SEEDS[0], tokens[:0], percent))
-                if sum(map(len, state["block"][-1:])) and state["docs"] % 4096 == 0:
+                    state["block"].append(tokens)
+                    state["size"] += len(tokens)
+                if state["size"] >= BLOCK:
                     close()
                 return [(doc_id, len(tokens), name(tokens) if len(tokens) else None, None, None)]
 
@@ -126,27 +132,30 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:  # type: ignore[no-untyped-def]
-    """(token, class, n, often) for each prefix token of each document under the first order."""
-    kind = T._parse_datatype_string("token bigint, class bigint, n int, often boolean")
+    """(token, class, n, at, often) for each prefix token of each document and its place in the first order; a task gives a class once."""
+    kind = T._parse_datatype_string("token bigint, class bigint, n int, at int, often boolean")
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, last = Shingler(size), frequent.value
+        shingle, last, done = Shingler(size), frequent.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 found, classes, sizes = [], [], []
                 for text in batch.column(0).slice(at, SLICE).to_pylist():
                     tokens = shingle(text)
-                    if len(tokens):
+                    if len(tokens) and (own := name(tokens)) not in done:
+                        if len(done) >= REMEMBERED:
+                            done.clear()
+                        done.add(own)
                         found.append(prefix(tokens, SEEDS[0], last, percent))
-                        classes.append(name(tokens))
+                        classes.append(own)
                         sizes.append(len(tokens))
                 if found:
                     every, times = np.concatenate(found), [len(x) for x in found]
                     often = np.zeros(len(every), bool)
                     if len(last):
                         often = last[np.minimum(np.searchsorted(last, every), len(last) - 1)] == every
-                    yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times)), pa.array(often)], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in times])), pa.array(often)], schema=arrow)
 
     return docs.select("text").mapInArrow(run, kind)
 
@@ -196,35 +205,49 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
     often = seen.where("token is not null").groupBy("token").agg(F.sum("often").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()  # 8 bytes each
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)))
 
-    # Tokens that two classes or more have in their prefixes. Rare ones meet in a window; frequent ones, of which there
-    # are at most FREQUENT, are reduced to classes first and get their first class by a broadcast of that bounded table.
-    found = postings(docs, frequent, size, percent)
-    by_token = Window.partitionBy("token")
-    rare = (
-        found.where("not often").select("token", "class", "n")
-        .withColumns({"first": F.min(F.struct("class", "n")).over(by_token), "last": F.max("class").over(by_token)})
-        .where("first.class != last").select("token", "class", "n", "first").distinct()
+    # Tokens that two classes or more have in their prefixes. Those of a rare token meet in one group. Frequent tokens, of
+    # which there are at most FREQUENT, are dealt by class as well, so that no group holds a share of all documents.
+    found = postings(docs, frequent, size, percent).withColumn("part", F.when(F.col("often"), F.pmod("class", F.lit(PARTS))).otherwise(F.lit(-1)))
+    group = Window.partitionBy("token", "part").orderBy("class")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = (
+        found.withColumns({"before": F.lag("class").over(group), "lo": F.first("class").over(whole), "hi": F.last("class").over(whole)})
+        .where("(often or lo != hi) and (before is null or before != class)").select("token", "class", "n", "at", "often")
     )
-    rare = written(rare, "rare")
-    common = written(found.where("often").select("token", "class", "n").distinct(), "common")
-    firsts = common.groupBy("token").agg(F.min(F.struct("class", "n")).alias("first"), F.max("class").alias("last")).where("first.class != last").drop("last")
-    shared = rare.unionByName(common.join(F.broadcast(firsts), "token"))
-
-    fits = lambda x, y: F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-    enough = lambda least: F.expr(f"times >= 1 + {least} div 10")
-    met = shared.where("class != first.class").where(fits("n", "first.n")).groupBy("class", F.col("first.class").alias("b")).agg(F.count("*").alias("times"), F.least(F.first("n"), F.first("first.n")).alias("least"))
-    best = met.withColumn("times", 2 * F.col("times")).where(enough("least")).groupBy("class").agg(F.max_by("b", F.struct("times", "b")).alias("b")).selectExpr("class a", "b")
-    links = verified(docs, rows, written(best, "pairs"), frequent, size, percent)
-
-    # What the first links leave apart: candidates in different components.
-    label = components(links)
-    placed = shared.select("token", "class", "n").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    placed = written(placed, "placed")
-    apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    left = placed.join(apart, "token", "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.component") != F.col("b.component")) & fits("a.n", "b.n"))
-    rest = rest.groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(F.count("*").alias("times"), F.least(F.first("a.n"), F.first("b.n")).alias("least")).where(enough("least")).select("a", "b")
+    shared = written(shared, "shared")
+    several = shared.where("often").groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("token")  # at most FREQUENT rows
+    shared = shared.where("not often").drop("often").unionByName(shared.where("often").join(F.broadcast(several), "token").drop("often"))
+    # How much of its prefix a class shares: the text that others were copied from shares most.
+    weight = shared.groupBy("class").agg((1000 * F.count("*") / F.first("n")).cast("int").alias("weight"))
+    placed = written(shared.join(weight, "class").withColumn("component", F.col("class")), "placed")
+
+    def near(n: str, m: str, i: str, j: str) -> Column:
+        """Whether a token at places i and j of sets of n and m tokens is among those one of which linked sets share."""
+        least = f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
+        return F.expr(f"{i} <= {n} - {least} and {j} <= {m} - {least} and 100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    label = spark.createDataFrame([], "class bigint, component bigint")
+    for k in range(STARS):
+        # Each class against the class of another component that stands first in most of its tokens.
+        rank = F.struct(F.col("weight") if k == 0 else F.xxhash64("class", F.lit(k)), "class", "n", "at", "component")
+        firsts = placed.groupBy("token").agg(F.max(rank).alias("f")).select("token", F.col("f.class").alias("b"), F.col("f.n").alias("m"), F.col("f.at").alias("j"), F.col("f.component").alias("other"))
+        met = placed.join(firsts, "token").where("component != other").groupBy("class", "b").agg(F.count("*").alias("times"), F.max(near("n", "m", "at", "j")).alias("near"))
+        best = met.where("near").groupBy("class").agg(F.max_by("b", F.struct("times", "b")).alias("b")).selectExpr("class a", "b")
+        new = verified(docs, rows, written(best, "pairs"), frequent, size, percent)
+        if new.isEmpty():
+            continue
+        links = links.unionByName(new)
+        label = components(links)
+        now = placed.drop("component").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        now = written(now, "placed")
+        apart = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+        placed = written(now.join(apart, "token", "left_semi"), "apart")
+
+    # What these links leave apart: all candidates in different components.
+    a, b = placed.alias("a"), placed.alias("b")
+    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.component") != F.col("b.component")) & near("a.n", "b.n", "a.at", "b.at"))
+    rest = rest.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
     more = verified(docs, rows, written(rest, "pairs"), frequent, size, percent)
     if not more.isEmpty():
         label = components(links.unionByName(more))

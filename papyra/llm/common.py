@@ -102,6 +102,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table of written() that nothing will read again."""
+    for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+        delete(table.sparkSession, path)
+
+
 def release(all_of_them: bool = False) -> None:
     """Deletes every scratch folder but those to be kept. Results that read one of them must have been written before."""
     while _scratch or all_of_them and _kept:

@@ -8,8 +8,8 @@ their Jaccard similarity is at least ``percent`` / 100.
 If x and y link they have at least m = ceil(percent (|x| + |y|) / (100 + percent)) tokens in common, so that in any global
 order the first |x| - m + 1 tokens of x and the first |y| - m + 1 of y share one. Orders put the most frequent tokens
 last (a bounded list, counted over all documents) and are random otherwise, each with its own seed. Classes that share a
-token there under the first order are candidates; candidates that share none under each further order go; what is left
-is verified on whole sets. With the frequent tokens last, what tells the copies of one text apart comes first.
+token there under the first order, and as many of a longer prefix as their sizes ask for, are candidates; candidates that
+share none under each further order go; what is left is verified on whole sets. With the frequent tokens last, what tells the copies of one text apart comes first.
 
 A group of near copies isn't expanded into pairs: in a few rounds each class is verified against one class of those it
 meets, and components are built; then only candidates in different components are left to compare, all of them.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from papyra.llm.common import SLICE, WordHashes, map_rows, mixed, rolled, written
+from papyra.llm.common import SLICE, WordHashes, discard, map_rows, mixed, rolled, written
 
 WORDS, PERCENT = 5, 80
 #: Seeds of the global orders; the first makes candidates, the others filter them.
@@ -193,7 +193,9 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, frequent, size:
 
         return one
 
-    return written(map_rows(both, make, "a bigint, b bigint"), "links")
+    found = written(map_rows(both, make, "a bigint, b bigint"), "links")
+    discard(sets)
+    return found
 
 
 def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -224,7 +226,14 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
     def near(n: str, m: str, i: str, j: str) -> Column:
         """Whether a token at places i and j of sets of n and m tokens is among those one of which linked sets share."""
         least = f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
-        return F.expr(f"{i} <= {n} - {least} and {j} <= {m} - {least} and 100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+        return F.expr(f"{i} <= {n} - {least} and {j} <= {m} - {least}")
+
+    def needed(n: str, m: str) -> Column:
+        """Prefix tokens that linked sets of n and m tokens share at least."""
+        least = f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
+        return F.expr("least(" + ", ".join(f"{least} + 1 - ({percent} * {x} + 99) div 100" for x in (n, m)) + ")")
+
+    fits = lambda n, m: F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
 
     links = spark.createDataFrame([], "a bigint, b bigint")
     label = spark.createDataFrame([], "class bigint, component bigint")
@@ -232,8 +241,8 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
         # Each class against the class of another component that stands first in most of its tokens.
         rank = F.struct(F.col("weight") if k == 0 else F.xxhash64("class", F.lit(k)), "class", "n", "at", "component")
         firsts = placed.groupBy("token").agg(F.max(rank).alias("f")).select("token", F.col("f.class").alias("b"), F.col("f.n").alias("m"), F.col("f.at").alias("j"), F.col("f.component").alias("other"))
-        met = placed.join(firsts, "token").where("component != other").groupBy("class", "b").agg(F.count("*").alias("times"), F.max(near("n", "m", "at", "j")).alias("near"))
-        best = met.where("near").groupBy("class").agg(F.max_by("b", F.struct("times", "b")).alias("b")).selectExpr("class a", "b")
+        met = placed.join(firsts, "token").where("component != other").where(fits("n", "m")).groupBy("class", "b").agg(F.count("*").alias("times"), F.max(near("n", "m", "at", "j")).alias("near"), F.first(needed("n", "m")).alias("need"))
+        best = met.where("near and 2 * times >= need").groupBy("class").agg(F.max_by("b", F.struct("times", "b")).alias("b")).selectExpr("class a", "b")
         new = verified(docs, rows, written(best, "pairs"), frequent, size, percent)
         if new.isEmpty():
             continue
@@ -246,8 +255,9 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
 
     # What these links leave apart: all candidates in different components.
     a, b = placed.alias("a"), placed.alias("b")
-    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.component") != F.col("b.component")) & near("a.n", "b.n", "a.at", "b.at"))
-    rest = rest.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.component") != F.col("b.component")) & fits("a.n", "b.n"))
+    rest = rest.groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(F.count("*").alias("times"), F.max(near("a.n", "b.n", "a.at", "b.at")).alias("near"), F.first(needed("a.n", "b.n")).alias("need"))
+    rest = rest.where("near and times >= need").select("a", "b")
     more = verified(docs, rows, written(rest, "pairs"), frequent, size, percent)
     if not more.isEmpty():
         label = components(links.unionByName(more))
@@ -262,7 +272,7 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
 
 
 def token_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(class, tokens) of these classes, from one document of each; tokens are little-endian, ascending."""
+    """(class, tokens) of these classes, from one document of each (a repeated id gives its row again); tokens are little-endian, ascending."""
     one = written(rows.where("doc_id is not null").join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "chosen")
     if one.count() <= MAX_BROADCAST_ROWS:
         one = F.broadcast(one)
@@ -276,4 +286,4 @@ def token_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int)
 
         return make_row
 
-    return map_rows(docs.join(one, "doc_id").select("class", "text"), make, "class bigint, tokens binary").dropDuplicates(["class"])
+    return map_rows(docs.join(one, "doc_id").select("class", "text"), make, "class bigint, tokens binary")

@@ -5,23 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def lines_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters and non-empty lines of each source."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != ""))
-    return d.groupBy("source").agg(F.count("*").alias("documents"), F.sum(n).alias("lines"), F.sum(F.char_length("text")).alias("chars"))
+from papyra.plans import catalog
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_per_source(spark, sf_dir)
+    return catalog.rule_scores_topk(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"lines_per_source": lines_per_source}
+    return catalog.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"lines_per_source": "SELECT source, count(*) AS documents, CAST(sum(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''))) AS BIGINT) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source"}
+    return catalog.oracle_sql()

@@ -255,9 +255,11 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
 
     # What these links leave apart: all candidates in different components.
     a, b = placed.alias("a"), placed.alias("b")
-    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.component") != F.col("b.component")) & fits("a.n", "b.n"))
-    rest = rest.groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(F.count("*").alias("times"), F.max(near("a.n", "b.n", "a.at", "b.at")).alias("near"), F.first(needed("a.n", "b.n")).alias("need"))
-    rest = rest.where("near and times >= need").select("a", "b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.component") != F.col("b.component")) & fits("a.n", "b.n") & near("a.n", "b.n", "a.at", "b.at"))
+    met = met.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).distinct()
+    firsts = placed.groupBy("class").agg(F.collect_list("token").alias("tokens"))
+    both = met.join(firsts.selectExpr("class a", "tokens x"), "a").join(firsts.selectExpr("class b", "tokens y"), "b")
+    rest = both.where(F.size(F.array_intersect("x", "y")) >= needed("n", "m")).select("a", "b")
     more = verified(docs, rows, written(rest, "pairs"), frequent, size, percent)
     if not more.isEmpty():
         label = components(links.unionByName(more))

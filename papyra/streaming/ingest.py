@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str) -> StreamingQuery:
@@ -21,7 +21,7 @@ def ingest(spark: SparkSession, source: str, schema: StructType | str, target: s
         own = batch.sparkSession
         rest = [c for c in kind.names if c not in ("doc_id", "text")]
         new = batch.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r")).select("doc_id", "r.*")
-        seen = own.read.schema(StructType(kind.fields).add("batch", "long")).option("basePath", target).parquet(target).where(F.col("batch") < n) if n else None
+        seen = own.read.schema(StructType([*kind.fields, StructField("batch", LongType())])).option("basePath", target).parquet(target).where(F.col("batch") < n) if n else None
         if seen is not None:
             new = new.join(seen.select("doc_id"), "doc_id", "left_anti")
         new.select(*kind.names).write.mode("overwrite").parquet(f"{target}/batch={n}")

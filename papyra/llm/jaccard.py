@@ -10,6 +10,8 @@ order the first |x| - m + 1 tokens of x and the first |y| - m + 1 of y share one
 last (a bounded list, counted over all documents) and are random otherwise, each with its own seed. Classes that share a
 token there under the first order, and as many of a longer prefix as their sizes ask for, are candidates; candidates that
 share none under each further order go; what is left is verified on whole sets. With the frequent tokens last, what tells the copies of one text apart comes first.
+The join that makes candidates also compares parity bitmaps of whole sets: they differ in at most as many bits as the
+sets do in tokens, so that a pair that links always passes.
 
 A group of near copies isn't expanded into pairs: in a few rounds each class is verified against one class of those it
 meets, and components are built; then only candidates in different components are left to compare, all of them.
@@ -44,6 +46,9 @@ MAX_BROADCAST_ROWS = 2_000_000
 BLOCK = 2_000_000
 #: Rounds of first links; parts that a frequent token's classes are dealt to; classes that a task remembers.
 STARS, PARTS, REMEMBERED = 2, 64, 500_000
+#: Bits of a class's parity bitmap, as columns of 64.
+BITS = 256
+_BITS = [f"bits{i}" for i in range(BITS // 64)]
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOP = np.uint64(1 << 63)
 
@@ -67,6 +72,13 @@ def name(tokens: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def parity(tokens: np.ndarray) -> list[int]:
+    """Whether an odd number of the tokens falls on each of BITS places, as signed 64-bit integers."""
+    places = mixed(tokens ^ np.uint64(SEEDS[0])) % np.uint64(BITS)
+    odd = np.bincount(places.astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def common(n: int, m: int, percent: int) -> int:
     """Tokens that sets of these sizes have in common at least if they link."""
     return -(-percent * (n + m) // (100 + percent))
@@ -98,7 +110,7 @@ def linked(x: np.ndarray, y: np.ndarray, frequent: np.ndarray, percent: int = PE
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """In one pass: a row for each document (doc_id, n, class), and rows (token, documents) of tokens frequent in a block."""
+    """In one pass: a row for each document (doc_id, n, class, its bitmap), and rows (token, documents) of tokens frequent in a block."""
 
     def make():  # type: ignore[no-untyped-def]
         shingle, counts = Shingler(size), Counter()
@@ -120,15 +132,15 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     state["size"] += len(tokens)
                 if state["size"] >= BLOCK:
                     close()
-                return [(doc_id, len(tokens), name(tokens) if len(tokens) else None, None, None)]
+                return [(doc_id, len(tokens), name(tokens) if len(tokens) else None, None, None, *parity(tokens))]
 
             def finish(self) -> Iterable[tuple]:
                 close()
-                return ((None, None, None, t - (1 << 64) if t >> 63 else t, n) for t, n in counts.most_common(FREQUENT))
+                return ((None, None, None, t - (1 << 64) if t >> 63 else t, n, *[None] * len(_BITS)) for t, n in counts.most_common(FREQUENT))
 
         return Rows()
 
-    return map_rows(docs, make, "doc_id bigint, n bigint, class bigint, token bigint, often bigint", finish=True)
+    return map_rows(docs, make, "doc_id bigint, n bigint, class bigint, token bigint, often bigint, " + ", ".join(f"{x} bigint" for x in _BITS), finish=True)
 
 
 def postings(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:  # type: ignore[no-untyped-def]
@@ -203,7 +215,7 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = written(signatures(docs, size, percent), "signatures")
-    rows = seen.where("n is not null").select("doc_id", "n", "class")
+    rows = seen.where("n is not null").select("doc_id", "n", "class", *_BITS)
     often = seen.where("token is not null").groupBy("token").agg(F.sum("often").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()  # 8 bytes each
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)))
 
@@ -233,6 +245,11 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
         least = f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}"
         return F.expr("least(" + ", ".join(f"{least} + 1 - ({percent} * {x} + 99) div 100" for x in (n, m)) + ")")
 
+    def alike(a: str, b: str) -> Column:
+        """Whether bitmaps differ in no more places than linked sets do in tokens."""
+        least = f"({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent}"
+        return F.expr(" + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in _BITS) + f" <= {a}.n + {b}.n - 2 * ({least})")
+
     fits = lambda n, m: F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
 
     links = spark.createDataFrame([], "a bigint, b bigint")
@@ -254,8 +271,10 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
         placed = written(now.join(apart, "token", "left_semi"), "apart")
 
     # What these links leave apart: all candidates in different components.
-    a, b = placed.alias("a"), placed.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.component") != F.col("b.component")) & fits("a.n", "b.n") & near("a.n", "b.n", "a.at", "b.at"))
+    maps = rows.where("class is not null").groupBy("class").agg(*(F.first(x).alias(x) for x in _BITS))
+    mapped = placed.join(maps, "class")
+    a, b = mapped.alias("a"), mapped.alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.component") != F.col("b.component")) & fits("a.n", "b.n") & near("a.n", "b.n", "a.at", "b.at") & alike("a", "b"))
     met = met.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).distinct()
     firsts = placed.groupBy("class").agg(F.collect_list("token").alias("tokens"))
     both = met.join(firsts.selectExpr("class a", "tokens x"), "a").join(firsts.selectExpr("class b", "tokens y"), "b")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.plans import catalog, checks  # noqa: F401 (checks adds its queries to the catalog)
+from papyra.plans import catalog, checks, facts  # noqa: F401 (checks and facts add their queries to the catalog)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.common import WordHashes, add_columns, map_rows, rolled
@@ -123,8 +123,14 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, cut: bool =
     return map_rows(docs, make, SCHEMA)
 
 
-def joined(docs: DataFrame, items: DataFrame, n: int, cut: bool) -> DataFrame:
-    """scan() for benchmarks of any size: windows meet in a join, dealt out by their text."""
+def row_key(documents: DataFrame) -> Column:
+    """Rows with the same key have the same id and text, null ids included (a null text is as an empty one)."""
+    text, doc_id = documents["text"].cast("string"), documents["doc_id"].cast("string")
+    return F.concat(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), F.coalesce(doc_id, F.lit("-")))
+
+
+def hits_by_key(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """key, found (windows) and ids (items) for every key of ``keyed`` (key, text) whose text holds a window: they meet in a join, dealt out by their text."""
 
     def windows(sizes: list[int], every: bool) -> Callable[[], Callable[..., Iterable[tuple]]]:
         def make() -> Callable[..., Iterable[tuple]]:
@@ -138,24 +144,34 @@ def joined(docs: DataFrame, items: DataFrame, n: int, cut: bool) -> DataFrame:
 
         return make
 
-    keyed = docs.withColumn("key", F.sha2(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 256))
     made = map_rows(items, windows([], False), "item_id string, start bigint, size bigint, gram string").groupBy("size", "gram").agg(F.collect_set("item_id").alias("ids"))
     sizes = [r[0] for r in made.select("size").distinct().collect()]  # at most n numbers
-    own = map_rows(keyed.select("key", "text").distinct(), windows(sizes, True), "key string, start bigint, size bigint, gram string")
-    hit = own.join(made, ["size", "gram"]).groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("found"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
+    own = map_rows(keyed.distinct(), windows(sizes, True), "key string, start bigint, size bigint, gram string")
+    return own.join(made, ["size", "gram"]).groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("found"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
+
+
+def spans_of(found: list[dict] | None) -> list[tuple[int, int]]:
+    return merged((x["start"], x["start"] + x["size"]) for x in found or ())
+
+
+def joined(docs: DataFrame, items: DataFrame, n: int, cut: bool) -> DataFrame:
+    """scan() for benchmarks of any size."""
+    keyed = docs.withColumn("key", row_key(docs))
+    hit = hits_by_key(keyed.select("key", "text"), items, n)
 
     def finish() -> Callable[..., list[tuple]]:
-        return lambda doc_id, text, found, ids: [row(doc_id, text, len(words(text)), merged((x["start"], x["start"] + x["size"]) for x in found or ()), ids or (), cut)]
+        return lambda doc_id, text, found, ids: [row(doc_id, text, len(words(text)), spans_of(found), ids or (), cut)]
 
     return map_rows(keyed.join(hit, "key", "left").select("doc_id", "text", "found", "ids"), finish, SCHEMA)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, remove: str = "documents") -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, remove: str = "documents", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``documents`` without the documents that hold a window, or (``remove="spans"``) without the words inside windows.
 
-    All columns stay; with spans, n_chars follows the text if the table has that column.
+    All columns stay; with spans, n_chars follows the text if the table has that column. Every row is judged by its
+    own text, whatever the size of the benchmark and whether its id is null or comes again.
     """
-    held = scan_rows(documents, benchmark, n, remove == "spans")
+    held = scan_rows(documents, benchmark, n, remove == "spans", max_broadcast_bytes)
     if remove == "documents":
         return held.where("not _hit").select(*documents.columns)
     out = held.withColumn("text", F.col("_cleaned"))
@@ -164,13 +180,22 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, re
     return out.select(*documents.columns)
 
 
-def scan_rows(documents: DataFrame, benchmark: DataFrame, n: int, cut: bool) -> DataFrame:
-    """``documents`` with _hit and _cleaned beside its own columns, in one pass."""
+def scan_rows(documents: DataFrame, benchmark: DataFrame, n: int, cut: bool, max_broadcast_bytes: int) -> DataFrame:
+    """``documents`` with _hit and _cleaned beside its own columns: in one pass, or joined as in scan()."""
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    if total > MAX_BROADCAST_BYTES:
-        found = joined(documents.select("doc_id", "text"), items, n, cut).select(F.col("doc_id").alias("_id"), F.col("contaminated").alias("_hit"), F.col("cleaned").alias("_cleaned")).distinct()
-        return documents.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    if total > max_broadcast_bytes:
+        keyed = documents.withColumn("_key", row_key(documents))
+        hit = hits_by_key(keyed.select(F.col("_key").alias("key"), F.col("text").cast("string").alias("text")), items, n).select(F.col("key").alias("_key"), F.col("found").alias("_found"))
+
+        def judge() -> Callable[..., tuple]:
+            def one(text: str | None, found: list[dict] | None) -> tuple:
+                spans = spans_of(found)
+                return bool(spans), without(text, spans) if cut else None
+
+            return one
+
+        return add_columns(keyed.join(hit, "_key", "left"), ["text", "_found"], judge, "_hit boolean, _cleaned string")
     held = documents.sparkSession.sparkContext.broadcast([tuple(x) for x in items.collect()])
 
     def make() -> Callable[..., tuple]:

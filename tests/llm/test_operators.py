@@ -49,6 +49,23 @@ def test_decontamination_paths_agree(spark, docs, odd):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, None, 6}
 
 
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_decontaminated_rows_are_judged_by_their_own_text(spark, remove):
+    """Null and repeated ids with clean and contaminated texts, the benchmark broadcast and joined."""
+    items = spark.createDataFrame([(1, "again; word salad"), (None, "two")], "item_id bigint, text string")
+    table = [(None, "a clean row"), (None, "Word salad again, word salad"), (None, "another clean row"), (None, None), (None, ""), (1, "clean"), (1, "so: again word salad!"), (1, "clean"), (2, "one two three"), (2, "one two three"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, k, len(t or "")) for k, (i, t) in enumerate(table)], "doc_id bigint, text string, place int, n_chars int")
+    cleaned = {1: "Word salad ", 6: "so: !", 8: "one  three", 9: "one  three"}
+    if remove == "documents":
+        want = [(i, t, k, len(t or "")) for k, (i, t) in enumerate(table) if k not in cleaned]
+    else:
+        want = [(i, cleaned.get(k, t), k, None if t is None else len(cleaned.get(k, t))) for k, (i, t) in enumerate(table)]
+    for bound in (decontam.MAX_BROADCAST_BYTES, 0):
+        out = decontam.decontaminate(docs, items, remove=remove, max_broadcast_bytes=bound)
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.collect()), key=lambda r: r[2]) == want
+
+
 def test_warc_round_trip(spark):
     page = "<p>" + "x" * 1000
     rows = [(1, "http://b.example.org/z", page), (2, "http://a.example.org/?q=1\n2", page), (3, None, None), (4, "", "short"), (5, "http://a.example.org/é", "short"), (2, "http://a.example.org/?q=1\n2", page), (None, "http://c.example", page)]

@@ -216,3 +216,15 @@ def test_html(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", page), (1, None, "<p>" + "z " * 100_000)], "page_id bigint, url string, html string")
     assert sorted(r.n_chars for r in htmltext.main_text(rows).collect()) == [0, 38, 199_999]
     assert htmltext.main_text(empty(rows)).count() == 0
+
+
+def test_html_article_beside_the_body():
+    """Marks that hold a small part of the text don't drop the rest; marks that hold most of it do."""
+    body = [f"Paragraph {k} of the body, which stands in an element without a name of its own, is fairly long." for k in range(4)]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    card = "<article><p>A teaser of another page.</p></article>"
+    assert htmltext.extract(f"<div id=content>{inner}</div>{card}") == "\n\n".join([*body, "A teaser of another page."])
+    assert htmltext.extract(f"<div id=content>{inner}</div><article><a>A teaser that is a link</a></article>") == "\n\n".join(body)
+    assert htmltext.extract(f"<div><p>Site.</p></div><article><h1>Short</h1><p>One.<p>Two.<p>Three.{inner}</article><div><p>{body[0]}</p></div>") == "\n\n".join(["Short", "One.", "Two.", "Three.", *body])
+    assert htmltext.extract("<main><p>Hi.</p></main><p>Me.</p>") == "Hi."
+    assert htmltext.extract("<main><ul><li><a>one</a><li><a>two</a></ul></main><p>(c)</p>") == "one\n\ntwo"

@@ -228,3 +228,14 @@ def test_html_article_beside_the_body():
     assert htmltext.extract(f"<div><p>Site.</p></div><article><h1>Short</h1><p>One.<p>Two.<p>Three.{inner}</article><div><p>{body[0]}</p></div>") == "\n\n".join(["Short", "One.", "Two.", "Three.", *body])
     assert htmltext.extract("<main><p>Hi.</p></main><p>Me.</p>") == "Hi."
     assert htmltext.extract("<main><ul><li><a>one</a><li><a>two</a></ul></main><p>(c)</p>") == "one\n\ntwo"
+
+
+def test_html_boilerplate_at_the_edges():
+    """A title before a share bar and a short ending after adverts are part of the text; short lines far before it aren't."""
+    long = ["A long paragraph of the page's text, which no element marks as its article, goes on and on. " * 3 + x for x in "ab"]
+    share, advert = "<div class=share>Tweet</div><div class=share>Mail</div>", "<div class=advert>Buy</div><div class=advert>Now</div><div class=related>Next</div>"
+    inner = f"<p>{long[0]}</p><p>{long[1]}</p>"
+    whole = "\n\n".join(["A title", *long, "The short ending."])
+    assert htmltext.extract(f"<h1>A title</h1>{share}{inner}{advert}<p>The short ending.</p>") == whole
+    assert htmltext.extract(f"<h1>A title</h1><div><a>one</a></div><div><a>two</a></div>{inner}<div><a>three</a></div>{advert}<p>The short ending.</p>") == whole
+    assert htmltext.extract(f"<p>Away.</p><h1>A title</h1><p>By me.</p>{share}{inner}{advert}<p>The short</p>{share}<p>ending.</p>") == "\n\n".join(["A title", "By me.", *long, "The short", "ending."])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra.llm import bpe, decontam, jaccard, linededup, quality
 from papyra.llm.common import release, scratch_dir
@@ -32,11 +33,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id. Rows without an id stay."""
+    """Of each group of near duplicates one row with the smallest id. Rows without an id stay.
+
+    A repeated id's texts are judged one by one: those that are no near copies of each other or of a smaller id's text
+    all stay. Of a group's rows with the smallest id the one of the least token-set class stays, then of the least text,
+    then of the least other columns. An id's rows without any word are one group.
+    """
     _begin()
-    kept = jaccard.link(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    kept = jaccard.grouped(docs).where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min("class").alias("_class")).select(F.col("doc_id").alias("_id"), "_class")
+    own = jaccard.with_class(docs.where("doc_id is not null"), "_own")
+    rows = own.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_class")), "left_semi")
+    nested = [f.name for f in docs.schema if not isinstance(f.dataType, T.AtomicType)]
+    order = ["text", *(x for x in docs.columns if x not in nested), *([F.to_json(F.struct(*nested))] if nested else [])]
+    first = rows.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(*order))).where("_place = 1")
+    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

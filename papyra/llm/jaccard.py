@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from papyra.llm.common import SLICE, WordHashes, discard, map_rows, mixed, rolled, written
+from papyra.llm.common import SLICE, WordHashes, add_columns, discard, map_rows, mixed, rolled, written
 
 WORDS, PERCENT = 5, 80
 #: Seeds of the global orders; the first makes candidates, the others filter them.
@@ -210,8 +210,26 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, frequent, size:
     return found
 
 
+def with_class(documents: DataFrame, column: str, *, size: int = WORDS) -> DataFrame:
+    """``documents`` with the class of each row's text; the empty set's for texts without tokens."""
+
+    def make():  # type: ignore[no-untyped-def]
+        shingle = Shingler(size)
+        return lambda text: (name(shingle(text)),)
+
+    return add_columns(documents, ["text"], make, f"{column} bigint")
+
+
 def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row of ``documents`` (doc_id, text)."""
+    return grouped(documents, size=size, percent=percent).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """link() with each row's class and component (a class of it); both are the empty set's for rows without tokens.
+
+    Where ids come again with other texts, components may share their smallest doc_id, but not their name.
+    """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = written(signatures(docs, size, percent), "signatures")
@@ -286,10 +304,11 @@ def link(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT) ->
     classes = rows.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     named = classes.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    answer = named.join(least, "component").select("class", "component_id")
+    answer = named.join(least, "component").select("class", "component", "component_id")
     out = rows.join(answer, "class", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    none = F.lit(name(np.empty(0, np.uint64)))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("class", none).alias("class"), F.coalesce("component", "class", none).alias("component"))
 
 
 def token_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int) -> DataFrame:

@@ -110,3 +110,18 @@ def test_odd_rows(spark, tmp_path_factory):
     last = ran(spark, tmp_path_factory, table)[-1][2]
     assert 0 < last.count() <= table.count() and "n_words" in last.columns
     assert ran(spark, tmp_path_factory, docs.where("false"))[-1][2].count() == 0
+
+
+def test_jaccard_stage_repeated_ids(spark):
+    """Of an id that comes again no text goes but near copies; the choice among equals doesn't hang on the order of rows."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    table = [(1, text(1), 10), (1, text(2), 11), (2, text(1).upper(), 12), (5, text(1), 13), (5, text(3), 14), (5, text(4), 16), (5, text(4), 15), (5, text(3) + " end", 17)]
+    table += [(6, text(3), 18), (6, None, 19), (6, "", 20), (6, text(5), 21), (None, text(1), 22), (None, text(1), 23), (7, None, 24), (7, text(6), 25), (7, text(6).upper(), 26)]
+    got = set()
+    for rows_of in (table, table[::-1]):
+        docs = spark.createDataFrame(rows_of, "doc_id bigint, text string, n_chars int").repartition(3)
+        out = corpus_pipeline.one_of_each(spark, docs, SF).collect()
+        got.add(tuple(sorted(r.n_chars for r in out)))
+    assert len(got) == 1
+    places = set(*got)
+    assert places - {14, 17} == {10, 11, 15, 19, 21, 22, 23, 24, 26} and len(places & {14, 17}) == 1

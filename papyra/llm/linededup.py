@@ -4,8 +4,11 @@ A line's key is the line without white space at both ends, A-Z in lower case. Ke
 points that at least ``min_docs`` documents hold lose their lines, except in the largest doc_id that holds the key.
 
 Runs are tables (key hash, documents, largest doc_id) sorted by hash. Each new batch of documents makes a run of level
-0: what the runs know of its keys is merged, the keys they don't have (an anti-join) are added. ``fan`` runs of a level
-are compacted into one of the next. Documents are dealt to batches by a hash of the id, so that every document's keys
+0, without a look at the runs before it; ``fan`` runs of a level are compacted into one of the next, which is where equal
+keys meet. dedup() does without the merge anti-join of a batch against the runs: a line is dropped by the number and the
+largest of all documents that hold its key, and known keys need their counts as new ones do, so that the anti-join
+would leave out nothing. With as many batches as ``fan``, as in dedup(), the one compaction is a grouping of all runs
+after the last batch. unseen() is that anti-join for callers who take batches in; nothing here calls it. Documents are dealt to batches by a hash of the id, so that every document's keys
 are counted in one batch and counts add up. Hashes are 128 bits (two 64-bit hashes); no text is kept in a run.
 
 A null or empty text is one empty line and gives the empty text. Rows without a doc_id hold no keys and stay as they

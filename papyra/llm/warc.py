@@ -245,10 +245,16 @@ class Archive:
         return self._read(spread, None, payloads)
 
     def lookup(self, urls: list[str], *, payloads: bool = True) -> DataFrame:
-        """The records of these URLs. Blocks that can't hold one of the keys are not read."""
+        """The records of these URLs. Blocks that can't hold one of the keys are not read: each part of the sorted directory is searched."""
         keys = sorted({surt(u) for u in urls})
-        near = F.array(*map(F.lit, keys))
-        blocks = self.directory.where(F.exists(near, lambda k: (F.col("first") <= k) & (F.col("last") >= k)))
+
+        def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = holding(*(batch.column(i).to_pylist() for i in (0, 1)), keys)
+                if found:
+                    yield batch.take(pa.array(found))
+
+        blocks = self.directory.sortWithinPartitions("first", "last").mapInArrow(near, self.directory.schema)
         return self._read(blocks, keys, payloads)
 
 
@@ -257,4 +263,9 @@ def search(firsts: list[str], key: str) -> range:
     return range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))
 
 
+def holding(firsts: list[str], lasts: list[str], keys: list[str]) -> list[int]:
+    """Places, in a sorted directory or any part of it, of the blocks whose first and last keys enclose one of ``keys``."""
+    return sorted({i for k in keys for i in search(firsts, k) if lasts[i] >= k})
+
+
 __all__: list[Any] = ["Archive", "parsed", "record", "search", "surt"]

@@ -81,6 +81,25 @@ def test_warc_round_trip(spark):
     assert list(warc.search(["a", "c", "c", "e"], "c")) == [0, 1, 2]
 
 
+def test_warc_lookup_searches_the_directory(spark):
+    class Key(str):
+        compared = 0
+
+        def __lt__(self, other):
+            Key.compared += 1
+            return str.__lt__(self, other)
+
+    firsts, lasts = [Key(f"{k:05}") for k in range(0, 20_000, 2)], [f"{k + 1:05}" for k in range(0, 20_000, 2)]
+    assert warc.holding(firsts, lasts, [Key(x) for x in ("00000", "00007", "19999", "2", "")]) == [0, 3, 9_999]
+    assert Key.compared <= 5 * 2 * 15
+    assert warc.holding(["a", "c", "c", "c", "e"], ["c", "c", "c", "d", "f"], ["c"]) == [0, 1, 2, 3]
+    rows = [(k, f"http://h{k % 7}.example/{k // 2 if k % 3 else 'same'}", f"p{k}") for k in range(4_000)]  # keys within a block and over several
+    archive = warc.Archive.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), scratch_dir(spark, "t"))
+    assert archive.directory.count() >= 8
+    for urls in ([rows[0][1]], [rows[5][1], rows[3_999][1], rows[3][1]], ["http://none.example/"], []):
+        assert sorted(r.page_id for r in archive.lookup(urls).collect()) == [k for k, u, _ in rows if u in urls]
+
+
 def test_language(spark, docs, odd):
     out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in out]) > 0.93

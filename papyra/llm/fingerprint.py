@@ -7,8 +7,9 @@ prefixes at lengths that grow by a quarter, and the ``KEPT`` smallest hashes of
 texts have equal fingerprints.
 
 The likeness of two fingerprints is 1 if they are equal; else the larger of two figures below 1: the share of spans in
-common (Dice, estimated from the smallest hashes of both), and twice the common prefix, as far as the kept prefixes
-show it, by the sum of lengths.
+common (Dice, estimated from the smallest hashes of both), and twice the common prefix by the sum of lengths. Where both
+texts are there, as in compare(), the prefix is their longest common extension; of fingerprints alone it is as far as
+the kept prefixes show it, up to a fifth too short.
 
 Null texts count as empty; empty texts are equal to each other and have likeness 0 to others. Rows are followed by the
 row with the next smaller doc_id; rows without an id come last; equal ids are in order of their text. A table of one
@@ -86,21 +87,31 @@ class Prefixes:
     def span(self, start: int, stop: int) -> int:
         return int(self.spans(np.array([start]), np.array([stop]))[0])
 
+    def same(self, at: int, other: Prefixes, at_other: int, size: int) -> bool:
+        """Whether spans of this size have equal hashes; powers shift the earlier one, so that nothing is inverted."""
+        for k, p in enumerate(PRIMES):
+            x = int(self.sums[k][at + size]) - int(self.sums[k][at])
+            y = int(other.sums[k][at_other + size]) - int(other.sums[k][at_other])
+            shift = int(POWERS.up[k][abs(at - at_other)])
+            if ((x * shift - y) if at < at_other else (x - y * shift)) % p:
+                return False
+        return True
+
     def extension(self, at: int, other: Prefixes, at_other: int) -> int:
         """Length of the longest common span that begins at these places."""
         low, high = 0, min(self.n - at, other.n - at_other)
         while low < high:
             mid = (low + high + 1) // 2
-            if self.span(at, at + mid) == other.span(at_other, at_other + mid):
+            if self.same(at, other, at_other, mid):
                 low = mid
             else:
                 high = mid - 1
         return low
 
 
-def fingerprint(text: str) -> str:
+def fingerprint(text: str | Prefixes) -> str:
     """Length, whole hash, prefix hashes (16 bits each) and smallest span hashes (32 bits each), in hex."""
-    own = Prefixes(text)
+    own = Prefixes(text) if isinstance(text, str) else text
     whole = own.span(0, own.n)
     marks = MARKS[: int(np.searchsorted(MARKS, own.n, "right"))]
     heads = mixed(own.spans(np.zeros(len(marks), np.int64), marks)) >> np.uint64(48)
@@ -117,16 +128,26 @@ def fingerprint(text: str) -> str:
     return f"{own.n:x}.{whole:016x}.{''.join(f'{x:04x}' for x in heads.tolist())}.{''.join(f'{x:08x}' for x in least.tolist())}"
 
 
-def likeness(a: str, b: str) -> float:
+def kept_prefix(a: str, b: str) -> int:
+    """The largest mark up to which the prefix hashes of two fingerprints are equal, by binary search."""
+    low, high = 0, min(len(a), len(b)) // 4
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[: 4 * mid] == b[: 4 * mid]:  # all of them: 16 bits alone may agree by chance
+            low = mid
+        else:
+            high = mid - 1
+    return int(MARKS[low - 1]) if low else 0
+
+
+def likeness(a: str, b: str, common: int | None = None) -> float:
+    """How near two fingerprints are; ``common`` is the common prefix, if the texts were there to find it."""
     if a == b:
         return 1.0
     (na, _, pa_, sa), (nb, _, pb, sb) = a.split("."), b.split(".")
     n, m = int(na, 16), int(nb, 16)
-    common = 0
-    for k in range(min(len(pa_), len(pb)) // 4):
-        if pa_[4 * k : 4 * k + 4] != pb[4 * k : 4 * k + 4]:
-            break
-        common = int(MARKS[k])
+    if common is None:
+        common = kept_prefix(pa_, pb)
     x, y = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (sa, sb))
     both = 0.0
     if x and y:
@@ -169,14 +190,15 @@ def compare(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple]:
-            held, mark = None, ""
+            held, mark = None, ""  # bucket, doc_id, text and its prefix arrays
             for batch in batches:
                 for at in range(0, batch.num_rows, 128):
                     for b, g, doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
-                        own = fingerprint(text)
+                        sums = Prefixes(text)
+                        own = fingerprint(sums)
                         if held is not None and held[0] == b:
-                            yield follow(held[1], held[2], mark, text, own)
-                        held, mark = (None, "") if g else ((b, doc_id, text), own)
+                            yield follow(held[1], held[2], held[3], mark, text, sums, own)
+                        held, mark = (None, "") if g else ((b, doc_id, text, sums), own)
 
         rows: list[tuple] = []
         for row in pairs():
@@ -195,7 +217,9 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n] if n else text
 
 
-def follow(doc_id: int | None, text: str, mark: str, following: str, next_mark: str) -> tuple:
+def follow(doc_id: int | None, text: str, sums: Prefixes, mark: str, following: str, next_sums: Prefixes, next_mark: str) -> tuple:
     changed = edited(text, following)
-    own = fingerprint(changed)
-    return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), mark, own, likeness(mark, own), likeness(mark, next_mark)
+    changed_sums = Prefixes(changed)
+    own = fingerprint(changed_sums)
+    near = [likeness(mark, x, sums.extension(0, other, 0)) for x, other in ((own, changed_sums), (next_mark, next_sums))]
+    return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), mark, own, *near

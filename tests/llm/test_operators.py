@@ -212,6 +212,23 @@ def test_fingerprints(spark, docs, odd):
     assert one.near_next == 1.0
 
 
+def test_likeness_takes_the_whole_common_prefix(spark, docs):
+    """Of compared rows the prefix is exact, not cut to a kept mark; of fingerprints alone it is cut to one."""
+    rows = [(2, "abcdefghijklmnop" * 9 + "x" * 70), (1, "abcdefghijklmnop" * 9 + "y" * 70)]
+    got = {r.doc_id: r for r in fingerprint.compare(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[2].near_next == got[1].near_next == 2 * 144 / 428
+    a, b = (fingerprint.Prefixes(t) for _, t in rows)
+    assert a.extension(0, b, 0) == 144 and a.extension(0, b, 16) == 128 == a.extension(16, b, 0) and a.extension(32, b, 32) == 112
+    marks = [(x.split(".")[2], y.split(".")[2]) for x, y in [[fingerprint.fingerprint(t) for _, t in rows]]]
+    assert fingerprint.kept_prefix(*marks[0]) == max(m for m in fingerprint.MARKS.tolist() if m <= 144)
+    ordered = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    near = {r.doc_id: (r.near_edited, r.near_next) for r in fingerprint.compare(docs).collect()}
+    for (i, t), (_, after) in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        for found, other in zip(near[i], (fingerprint.edited(t, after), after), strict=True):
+            common = next((k for k, (x, y) in enumerate(zip(t, other, strict=False)) if x != y), min(len(t), len(other)))
+            assert found >= min(0.999, 2 * common / max(1, len(t) + len(other)))
+
+
 def test_quality(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality.score(docs, labels).join(labels, "doc_id").where("held_out").collect()

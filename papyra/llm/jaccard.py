@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by prefix filters under several global token orders.
+"""N-gram Jaccard join by the prefix filter of a global token order.
 
 A document's tokens are the distinct shingles of five words (runs of characters other than white space, A-Z in lower
 case) as 64-bit hashes; with fewer words the whole sequence is the one token. Documents with equal token sets are one
@@ -8,8 +8,9 @@ their Jaccard similarity is at least ``percent`` / 100.
 If x and y link they have at least m = ceil(percent (|x| + |y|) / (100 + percent)) tokens in common, so that in any global
 order the first |x| - m + 1 tokens of x and the first |y| - m + 1 of y share one. Orders put the most frequent tokens
 last (a bounded list, counted over all documents) and are random otherwise, each with its own seed. Classes that share a
-token there under the first order, and as many of a longer prefix as their sizes ask for, are candidates; candidates that
-share none under each further order go; what is left is verified on whole sets. With the frequent tokens last, what tells the copies of one text apart comes first.
+token there under the first order, and as many of a longer prefix as their sizes ask for, are candidates. Their whole sets are
+fetched; pairs that share no prefix token under a further order then skip the exact test, which all others get. So the
+further orders take nothing out of the join or of the sets fetched. With the frequent tokens last, what tells the copies of one text apart comes first.
 The join that makes candidates also compares parity bitmaps of whole sets: they differ in at most as many bits as the
 sets do in tokens, so that a pair that links always passes.
 
@@ -36,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from papyra.llm.common import SLICE, WordHashes, add_columns, discard, map_rows, mixed, rolled, written
 
 WORDS, PERCENT = 5, 80
-#: Seeds of the global orders; the first makes candidates, the others filter them.
+#: Seeds of the global orders; the first makes candidates, the others come right before the exact test.
 SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B)
 #: Most tokens in the list of frequent ones; a token gets there if it is in one of so many documents of a block.
 FREQUENT, ONE_IN = 100_000, 1024

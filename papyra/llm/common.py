@@ -121,6 +121,17 @@ def release(all_of_them: bool = False) -> None:
 atexit.register(release, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """These names, each with as many underscores after it as it takes to clash with no column of ``df``."""
+    taken, out = {x.lower() for x in df.columns}, []
+    for x in wanted:
+        while x.lower() in taken:
+            x += "_"
+        taken.add(x.lower())
+        out.append(x)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -134,7 +145,7 @@ class WordHashes(dict):
     """64-bit hashes of byte strings, kept for words that come again."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found

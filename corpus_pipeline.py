@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyra.llm import bpe, decontam, jaccard, linededup, quality
-from papyra.llm.common import release, scratch_dir
+from papyra.llm.common import free_names, release, scratch_dir
 from papyra.llm.queries import tokenizer_path
 
 
@@ -40,12 +40,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     then of the least other columns. An id's rows without any word are one group.
     """
     _begin()
-    kept = jaccard.grouped(docs).where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min("class").alias("_class")).select(F.col("doc_id").alias("_id"), "_class")
-    own = jaccard.with_class(docs.where("doc_id is not null"), "_own")
-    rows = own.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_class")), "left_semi")
+    key, mark, cls, place = free_names(docs, "_id", "_mark", "_class", "_place")
+    groups = jaccard.grouped(docs).where("doc_id = component_id").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("class").alias(cls), "component")
+    least = groups.groupBy(key, "component").agg(F.min(cls).alias(cls))
+    kept = groups.join(least, [key, "component", cls], "left_semi").select(key, mark, cls).distinct()
+    rows = docs.join(kept, (F.col("doc_id") == F.col(key)) & (jaccard.mark_of(F.col("text")) == F.col(mark)))
     nested = [f.name for f in docs.schema if not isinstance(f.dataType, T.AtomicType)]
     order = ["text", *(x for x in docs.columns if x not in nested), *([F.to_json(F.struct(*nested))] if nested else [])]
-    first = rows.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(*order))).where("_place = 1")
+    first = rows.withColumn(place, F.row_number().over(Window.partitionBy(key, cls).orderBy(*order))).where(F.col(place) == 1)
     return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -13,18 +13,19 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.llm.common import add_columns_by, free_names
 
 #: The split pattern of byte-level vocabularies. Fixed value: it has to equal the library's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks that an encoder remembers, and the longest of them.
-KEPT, KEPT_CHARS = 800_000, 48
+#: Chunks that an encoder remembers (about 200 bytes each), and the longest of them.
+KEPT, KEPT_CHARS = 150_000, 48
 _AWKWARD = re.compile(r" (?:\s|$)")
 _CHUNK = re.compile(r"(?= \S)")
 
@@ -175,7 +176,7 @@ def spec(path: str) -> str:
 
 
 class Loaded:
-    """One encoder a Python worker, so that what it learned serves its later tasks."""
+    """One vocabulary a Python worker, which serves its later tasks; what a task has learned of chunks goes at its end."""
 
     held: dict[str, Bpe] = {}
 
@@ -188,56 +189,52 @@ class Loaded:
         return cls.held[key]
 
 
-#: Characters that are encoded together.
-BLOCK_CHARS = 4_000_000
+#: Rows that are encoded together, if they are short.
+ROWS = 4096
 
 
-def blocks(texts: list[str]) -> Iterable[list[str]]:
-    block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t)
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def encoded(documents: DataFrame, tokenizer: str, inputs: list[str], use: Callable[[Bpe, list[tuple], list[bytes]], list[tuple]], schema: str) -> DataFrame:
+    """``documents`` with columns that ``use`` makes of the encoder, rows of ``inputs`` (the last is the text) and their ids.
 
-
-def encode_table(documents: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """``documents`` with _ids (binary, little-endian unsigned 32-bit) and _decoded (string) after its columns.
-
-    A null text counts as empty: no ids, and the empty text decoded. The vocabulary (a fixed file of ``tokenizer``,
-    read on the driver) is broadcast.
+    The vocabulary (a fixed file of ``tokenizer``, read on the driver) is broadcast. A few MB of text are Python strings at
+    one time, unless one row has more.
     """
-    import pyarrow as pa
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     held = documents.sparkSession.sparkContext.broadcast(spec(tokenizer))
-    kind = T.StructType([*documents.schema.fields, T.StructField("_ids", T.BinaryType()), T.StructField("_decoded", T.StringType())])
-    arrow, place = to_arrow_schema(kind), documents.columns.index(text_col)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    def make() -> Callable[[list[tuple]], list[tuple]]:
         bpe = Loaded.get(held.value)
-        for batch in batches:
-            at = 0
-            for texts in blocks([t or "" for t in batch.column(place).to_pylist()]):
-                ids = bpe.encode(texts)
-                part = batch.slice(at, len(texts))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([*(x.cast(f.type) for x, f in zip(part.columns, arrow, strict=False)), pa.array(ids, arrow.field("_ids").type), pa.array(map(bpe.decode, ids), arrow.field("_decoded").type)], schema=arrow)
-
-    return documents.mapInArrow(run, kind)
-
-
-def digests(encoded: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of an encoded table with n_tokens, ids_sha256 and decoded_sha256."""
-    return encoded.select(
-        *columns,
-        (F.octet_length("_ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2(F.col("_ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("_decoded").cast("binary"), 256).alias("decoded_sha256"),
+
+        def rows(given: list[tuple]) -> list[tuple]:
+            whole = [(*x[:-1], x[-1] or "") for x in given]
+            return use(bpe, whole, bpe.encode([x[-1] for x in whole]))
+
+        rows.close = bpe.known.clear  # type: ignore[attr-defined]
+        return rows
+
+    return add_columns_by(documents, inputs, make, schema, ROWS)
+
+
+def encode_table(documents: DataFrame, tokenizer: str, text_col: str = "text", ids: str = "_ids", decoded: str = "_decoded") -> DataFrame:
+    """``documents`` with the columns ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (string) after its own.
+
+    A null text counts as empty: no ids, and the empty text decoded. Repeated rows each get their result, an empty table
+    gives an empty one, and a long text is encoded whole. A column of ``documents`` that has one of the two names is an error.
+    """
+    both = lambda bpe, _, found: [(x, bpe.decode(x)) for x in found]
+    return encoded(documents, tokenizer, [text_col], both, f"{ids} binary, {decoded} string")
+
+
+def digests(documents: DataFrame, tokenizer: str, *columns: str) -> DataFrame:
+    """``columns`` of ``documents`` with n_tokens, ids_sha256 and decoded_sha256; columns of these names are replaced."""
+    added = ("n_tokens", "ids_sha256", "decoded_sha256")
+    own = documents.select(*(F.col(f"`{x}`") for x in dict.fromkeys([*(c for c in columns if c not in added), "text"])))
+    ids, decoded = free_names(own, "_ids", "_decoded")
+    table = encode_table(own, tokenizer, ids=ids, decoded=decoded)
+    return table.select(
+        *(F.col(f"`{x}`") for x in columns if x not in added),
+        (F.octet_length(ids) / 4).cast("bigint").alias("n_tokens"),
+        F.sha2(F.col(ids), 256).alias("ids_sha256"),
+        F.sha2(F.col(decoded).cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +33,14 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
     kind = T._parse_datatype_string(schema)
     assert isinstance(kind, T.StructType)
     arrow = to_arrow_schema(kind)
-    columns = len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = [out for row in zip(*(part.column(i).to_pylist() for i in range(columns)), strict=True) for out in fn(*row)]
+            if not batch.num_rows:
+                continue
+            for part in pieces(tuple(batch.columns), SLICE):
+                rows = [out for row in zip(*(c.to_pylist() for c in part), strict=True) for out in fn(*row)]
                 yield from packed(rows, arrow)
         if finish:
             yield from packed(list(fn.finish()), arrow)  # type: ignore[attr-defined]
@@ -48,22 +49,63 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
 
 
 def add_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
-    """``df`` with the columns of ``schema`` after its own, from a function of each row's ``inputs``; other values stay in Arrow."""
+    """``df`` with the columns of ``schema`` after its own, from a function of each row's ``inputs``; no other column leaves the JVM."""
+
+    def each() -> Callable[[list[tuple]], list[tuple]]:
+        fn = make()
+        return lambda rows: [fn(*row) for row in rows]
+
+    return add_columns_by(df, inputs, each, schema)
+
+
+def pieces(columns: tuple[pa.Array, ...], rows: int, size: int = 4 << 20) -> Iterator[tuple[pa.Array, ...]]:
+    """A batch's columns in slices of at most so many rows, and of so many bytes of text unless one row has more."""
+    n = len(columns[0])
+    held = np.zeros(n, np.int64)
+    for c in columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
+            held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(held), 0
+    while at < n:
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        stop = max(at + 1, min(stop, at + rows))
+        yield tuple(c.slice(at, stop - at) for c in columns)
+        at = stop
+
+
+def add_columns_by(df: DataFrame, inputs: list[str], make: Callable[[], Callable[[list[tuple]], list[tuple]]], schema: str, rows: int = SLICE) -> DataFrame:
+    """add_columns() with a function of a few hundred rows (at most ``rows``) at a time, so that it can work on them together."""
     added = T._parse_datatype_string(schema)
     assert isinstance(added, T.StructType)
-    kind = T.StructType([*df.schema.fields, *added.fields])
-    arrow, new = to_arrow_schema(kind), to_arrow_schema(added)
-    places = [df.columns.index(x) for x in inputs]
+    clash = {x.lower() for x in df.columns} & {x.lower() for x in added.names}
+    assert not clash, f"columns that clash: {clash}"
+    new = to_arrow_schema(added)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches):  # type: ignore[no-untyped-def]
         fn = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = [fn(*row) for row in zip(*(part.column(i).to_pylist() for i in places), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(x.cast(f.type) for x, f in zip(part.columns, arrow, strict=False)), *(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), new, strict=True))], schema=arrow)
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            for part in pieces(columns, rows):
+                out = fn(list(zip(*(c.to_pylist() for c in part), strict=True)))
+                yield pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), new, strict=True)], fields=list(new))
+        close = getattr(fn, "close", None)
+        if close:
+            close()
 
-    return df.mapInArrow(run, kind)
+    if len(inputs) == 1:
+
+        def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from run(batches)
+
+        udf = F.arrow_udf(one, added)
+    else:
+
+        def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            yield from run(batches)
+
+        udf = F.arrow_udf(several, added)
+    (held,) = free_names(df, "_new")
+    return df.withColumn(held, udf(*inputs)).select(*(F.col(f"`{x}`") for x in df.columns), *(F.col(f"{held}.{x}") for x in added.names))
 
 
 def packed(rows: list[tuple], arrow: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import add_columns, fold, map_rows, written
+from papyra.llm.common import add_columns_by, fold, free_names, map_rows, written
 
 #: Labelled rows that are fitted on, at most; random features; ridge; width of the kernel; seed of the features.
 MAX_ROWS, FEATURES, RIDGE, WIDTH, SEED = 20_000, 256, 1e-2, 4.0, 7
@@ -161,33 +161,25 @@ def fit(documents: DataFrame, labels: DataFrame, *, folds: int = 4, held: int =
     return model
 
 
-def _scorer(held) -> Callable[[], Callable[[str | None], float]]:  # type: ignore[no-untyped-def]
-    return lambda: lambda text: float(held.value.score(np.array([statistics(text)]))[0])
+def scored(documents: DataFrame, model: Model, column: str) -> DataFrame:
+    """``documents`` with each text's score; the texts alone go through Python, a few hundred scored at once."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def make() -> Callable[[list[tuple]], list[tuple]]:
+        own = held.value
+        return lambda rows: [(x,) for x in own.score(np.array([statistics(text) for (text,) in rows])).tolist()]
+
+    return add_columns_by(documents, ["text"], make, f"{column} double")
 
 
 def score(documents: DataFrame, labels: DataFrame, *, folds: int = 4, held: int = 2, accepted: float = ACCEPTED) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``documents``."""
-    model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, folds=folds, held=held))
+    model = fit(documents, labels, folds=folds, held=held)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-
-    def make() -> Callable[..., list[tuple]]:
-        one = _scorer(model)()
-
-        def row(doc_id: int | None, held_out: bool, text: str | None) -> list[tuple]:
-            s = one(text)
-            return [(doc_id, held_out, s, int(s >= accepted))]
-
-        return row
-
-    return map_rows(docs, make, "doc_id bigint, held_out boolean, score double, predicted int")
+    return scored(docs, model, "score").select("doc_id", "held_out", "score", (F.col("score") >= accepted).cast("int").alias("predicted"))
 
 
 def accept(documents: DataFrame, labels: DataFrame, *, accepted: float = ACCEPTED) -> DataFrame:
-    """``documents`` without the rows that score below ``accepted``; all columns stay."""
-    model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
-
-    def make() -> Callable[..., tuple]:
-        one = _scorer(model)()
-        return lambda text: (one(text),)
-
-    return add_columns(documents, ["text"], make, "_score double").where(F.col("_score") >= accepted).drop("_score")
+    """``documents`` without the rows that score below ``accepted``; all columns stay, whatever their names."""
+    (column,) = free_names(documents, "_score")
+    return scored(documents, fit(documents, labels), column).where(F.col(column) >= accepted).drop(column)

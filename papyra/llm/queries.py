@@ -48,7 +48,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_table(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()), "doc_id")
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path(), "doc_id")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

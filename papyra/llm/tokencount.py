@@ -10,17 +10,12 @@ A null text counts as empty. Every row gets its result, repeated ids included.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from papyra.llm.bpe import Bpe, Loaded, blocks, spec
+from papyra.llm.bpe import Bpe, encoded
 
-SCHEMA = "doc_id bigint, n_tokens bigint, n_sections bigint, n_crossing bigint, section_tokens array<bigint>"
+COUNTS = "n_tokens bigint, n_sections bigint, n_crossing bigint, section_tokens array<bigint>"
 
 
 def attribute(bpe: Bpe, text: str, ids: bytes) -> tuple[int, int, int, list[int]]:
@@ -37,17 +32,6 @@ def attribute(bpe: Bpe, text: str, ids: bytes) -> tuple[int, int, int, list[int]
 
 def section_counts(documents: DataFrame, tokenizer: str) -> DataFrame:
     """For every row of ``documents`` (doc_id, text) the tokens of the text and of its sections."""
-    held = documents.sparkSession.sparkContext.broadcast(spec(tokenizer))
-    kind = T._parse_datatype_string(SCHEMA)
-    arrow = to_arrow_schema(kind)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        bpe = Loaded.get(held.value)
-        for batch in batches:
-            doc_ids, at = batch.column(0).to_pylist(), 0
-            for texts in blocks([t or "" for t in batch.column(1).to_pylist()]):
-                rows = [(d, *attribute(bpe, t, x)) for d, t, x in zip(doc_ids[at:], texts, bpe.encode(texts), strict=False)]
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-
-    return documents.selectExpr("cast(doc_id as bigint)", "cast(text as string)").mapInArrow(run, kind)
+    docs = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+    use = lambda bpe, rows, found: [attribute(bpe, t, x) for (t,), x in zip(rows, found, strict=True)]
+    return encoded(docs, tokenizer, ["text"], use, COUNTS).drop("text")

@@ -58,9 +58,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, decoded again: counts and digests of both beside the document's other columns."""
+    """Token ids of every text, decoded again: counts and digests of both beside the document's columns, in place of any with their names."""
     _begin()
-    return bpe.digests(bpe.encode_table(docs, tokenizer_path()), *docs.columns)
+    return bpe.digests(docs, tokenizer_path(), *docs.columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -244,16 +244,17 @@ def grouped(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT)
 
     # Tokens that two classes or more have in their prefixes. Those of a rare token meet in one group. Frequent tokens, of
     # which there are at most FREQUENT, are dealt by class as well, so that no group holds a share of all documents.
-    found = postings(docs, frequent, collided, size, percent).withColumn("part", F.when(F.col("often"), F.pmod("class", F.lit(PARTS))).otherwise(F.lit(-1)))
+    found = postings(docs, frequent, collided, size, percent).select("token", "class", "n", "at", F.when(F.col("often"), F.pmod("class", F.lit(PARTS))).otherwise(F.lit(-1)).alias("part"))
     group = Window.partitionBy("token", "part").orderBy("class")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = found.withColumn("new", F.coalesce(F.lag("class").over(group) != F.col("class"), F.lit(True)))
     # Tokens with the same classes (those of one passage, say) have the same mark, from which on they are one.
-    marks = {x: F.expr(f"bit_xor(case when new then xxhash64(class, {i}) end)") for i, x in enumerate(("s1", "s2"))}
-    met = first.withColumns({"df": F.sum(F.col("new").cast("int")).over(whole), **{x: c.over(whole) for x, c in marks.items()}}).where("new and (often or df > 1)").select("token", "class", "n", "at", "often", "df", "s1", "s2")
+    marks = [F.expr(f"bit_xor(case when new then xxhash64(class, {i}) end)") for i in range(2)]
+    often = F.col("part") >= 0
+    met = first.withColumns({"df": F.sum(F.col("new").cast("int")).over(whole), "mark": F.xxhash64(*(c.over(whole) for c in marks))}).where(F.col("new") & (often | (F.col("df") > 1))).select("token", "class", "n", "at", often.alias("often"), "df", "mark")
     met = written(met, "shared")
-    several = met.where("often").withColumn("new", F.lit(True)).groupBy("token").agg(F.count("*").alias("df"), *(c.alias(x) for x, c in marks.items())).where("df > 1")  # at most FREQUENT rows
-    met = met.where("not often").drop("often").unionByName(met.where("often").drop("often", "df", "s1", "s2").join(F.broadcast(several), "token"))
+    several = met.where("often").withColumn("new", F.lit(True)).groupBy("token").agg(F.count("*").alias("df"), F.xxhash64(*marks).alias("mark")).where("df > 1")  # at most FREQUENT rows
+    met = met.where("not often").drop("often").unionByName(met.where("often").drop("often", "df", "mark").join(F.broadcast(several), "token"))
     # S of each class: its size k, and the places of its tokens in the second and the third order; then a row for each
     # mark, with the number of its tokens and the least of their places.
     own = Window.partitionBy("class")
@@ -262,7 +263,7 @@ def grouped(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT)
         "at2": F.row_number().over(own.orderBy("df", F.xxhash64("token"), "token")) - 1,
         "at3": F.row_number().over(own.orderBy(F.xxhash64("token", F.lit(SEEDS[1])), "token")) - 1,
     })
-    placed = ranked.groupBy("class", F.xxhash64("s1", "s2").alias("token")).agg(F.count("*").cast("int").alias("w"), F.first("n").alias("n"), F.first("k").alias("k"), *(F.min(x).alias(x) for x in ("at", "at2", "at3")))
+    placed = ranked.groupBy("class", F.col("mark").alias("token")).agg(F.count("*").cast("int").alias("w"), F.first("n").alias("n"), F.first("k").alias("k"), *(F.min(x).alias(x) for x in ("at", "at2", "at3")))
     placed = written(placed.withColumn("component", F.col("class")), "placed")
 
     def least(n: str, m: str) -> str:
@@ -279,16 +280,24 @@ def grouped(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT)
 
     fits = lambda n, m: F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
 
+    def passing(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b; sizes n, m of the sets and k, l of S) that share enough tokens, and under every order one of both prefixes."""
+        t = needed("n", "m")
+        x, y = (placed.select(F.col("class").alias(side), "token", *(F.col(c).alias(f"{c}_{side}") for c in ("w", "at", "at2", "at3"))) for side in "ab")
+        inside = [F.expr(near("n", "m", "at_a", "at_b")), *(F.expr(f"at{o}_a <= k - {t} and at{o}_b <= l - {t}") for o in (2, 3))]
+        shared = pairs.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.greatest("w_a", "w_b")).alias("both"), F.first(F.expr(t)).alias("t"), *(F.bool_or(c).alias(f"in{i}") for i, c in enumerate(inside, 1)))
+        return shared.where("both >= t and in1 and in2 and in3").select("a", "b")
+
     links = spark.createDataFrame([], "a bigint, b bigint")
     label = spark.createDataFrame([], "class bigint, component bigint")
-    for k in range(STARS):
+    for star in range(STARS):
         # Each class against the class of another component that stands first in most of its tokens. How much of its
         # prefix a class shares comes first: the text that others were copied from shares most.
-        rank = F.struct(F.expr("1000 * k div n") if k == 0 else F.xxhash64("class", F.lit(k)), "class", "n", "at", "component")
-        firsts = placed.groupBy("token").agg(F.max(rank).alias("f")).select("token", F.col("f.class").alias("b"), F.col("f.n").alias("m"), F.col("f.at").alias("j"), F.col("f.component").alias("other"))
-        close = placed.join(firsts, "token").where("component != other").where(fits("n", "m")).groupBy("class", "b").agg(F.sum("w").alias("times"), F.max(F.expr(near("n", "m", "at", "j"))).alias("near"), F.first(F.expr(needed("n", "m"))).alias("need"))
-        best = close.where("near and 2 * times >= need").groupBy("class").agg(F.max_by("b", F.struct("times", "b")).alias("b")).selectExpr("class a", "b")
-        new = verified(docs, rows, written(best, "pairs"), collided, size, percent)
+        rank = F.struct(F.expr("1000 * k div n") if star == 0 else F.xxhash64("class", F.lit(star)), "class", "n", "k", "component")
+        firsts = placed.groupBy("token").agg(F.max(rank).alias("f")).select("token", F.col("f.class").alias("b"), F.col("f.n").alias("m"), F.col("f.k").alias("l"), F.col("f.component").alias("other"))
+        close = placed.join(firsts, "token").where("component != other").where(fits("n", "m")).groupBy("class", "b").agg(F.sum("w").alias("times"), *(F.first(c).alias(c) for c in ("n", "m", "k", "l")))
+        best = close.groupBy("class").agg(F.max_by(F.struct("b", "n", "m", "k", "l"), F.struct("times", "b")).alias("f")).select(F.col("class").alias("a"), "f.*")
+        new = verified(docs, rows, written(passing(best), "pairs"), collided, size, percent)
         if new.isEmpty():
             continue
         links = links.unionByName(new)
@@ -307,12 +316,7 @@ def grouped(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT)
     alike = F.expr(" + ".join(f"bit_count(a.{x} ^ b.{x})" for x in _BITS) + f" <= a.n + b.n - 2 * {least('a.n', 'b.n')}")
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.component") != F.col("b.component")) & fits("a.n", "b.n") & by_order & alike)
     pairs = written(pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.col("a.k").alias("k"), F.col("b.k").alias("l")).distinct(), "pairs")
-    # The marks that a pair shares: enough tokens, and in both prefixes of every order one.
-    t = needed("n", "m")
-    x, y = (placed.select(F.col("class").alias(side), "token", *(F.col(c).alias(f"{c}_{side}") for c in ("w", "at", "at2", "at3"))) for side in "ab")
-    inside = [F.expr(near("n", "m", "at_a", "at_b")), *(F.expr(f"at{o}_a <= k - {t} and at{o}_b <= l - {t}") for o in (2, 3))]
-    shared = pairs.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.greatest("w_a", "w_b")).alias("both"), F.first(F.expr(t)).alias("t"), *(F.bool_or(c).alias(f"in{i}") for i, c in enumerate(inside, 1)))
-    rest = shared.where("both >= t and in1 and in2 and in3").select("a", "b")
+    rest = passing(pairs)
     more = verified(docs, rows, written(rest, "pairs"), collided, size, percent)
     if not more.isEmpty():
         label = components(links.unionByName(more))

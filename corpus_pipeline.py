@@ -40,15 +40,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     then of the least other columns. An id's rows without any word are one group.
     """
     _begin()
-    key, mark, cls, place = free_names(docs, "_id", "_mark", "_class", "_place")
+    key, mark, cls, copies, place = free_names(docs, "_id", "_mark", "_class", "_copies", "_place")
     groups = jaccard.grouped(docs).where("doc_id = component_id").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("class").alias(cls), "component")
-    least = groups.groupBy(key, "component").agg(F.min(cls).alias(cls))
-    kept = groups.join(least, [key, "component", cls], "left_semi").select(key, mark, cls).distinct()
+    least = groups.groupBy(key, "component").agg(F.min(cls).alias(cls), F.count("*").alias(copies))
+    kept = groups.join(least, [key, "component", cls]).select(key, mark, cls, copies).distinct()
     rows = docs.join(kept, (F.col("doc_id") == F.col(key)) & (jaccard.mark_of(F.col("text")) == F.col(mark)))
     nested = [f.name for f in docs.schema if not isinstance(f.dataType, T.AtomicType)]
     order = ["text", *(x for x in docs.columns if x not in nested), *([F.to_json(F.struct(*nested))] if nested else [])]
-    first = rows.withColumn(place, F.row_number().over(Window.partitionBy(key, cls).orderBy(*order))).where(F.col(place) == 1)
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    several = rows.where(F.col(copies) > 1)  # only rows of repeated ids need a choice
+    first = several.withColumn(place, F.row_number().over(Window.partitionBy(key, cls).orderBy(*order))).where(F.col(place) == 1)
+    return rows.where(F.col(copies) == 1).select(*docs.columns).unionByName(first.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,10 +283,16 @@ def grouped(documents: DataFrame, *, size: int = WORDS, percent: int = PERCENT)
     def passing(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b; sizes n, m of the sets and k, l of S) that share enough tokens, and under every order one of both prefixes."""
         t = needed("n", "m")
-        x, y = (placed.select(F.col("class").alias(side), "token", *(F.col(c).alias(f"{c}_{side}") for c in ("w", "at", "at2", "at3"))) for side in "ab")
-        inside = [F.expr(near("n", "m", "at_a", "at_b")), *(F.expr(f"at{o}_a <= k - {t} and at{o}_b <= l - {t}") for o in (2, 3))]
-        shared = pairs.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.greatest("w_a", "w_b")).alias("both"), F.first(F.expr(t)).alias("t"), *(F.bool_or(c).alias(f"in{i}") for i, c in enumerate(inside, 1)))
-        return shared.where("both >= t and in1 and in2 and in3").select("a", "b")
+        lists = placed.groupBy("class").agg(F.collect_list(F.struct("token", "w", "at", "at2", "at3")).alias("s"), F.collect_list("token").alias("tokens"))  # a document's prefix at most
+        both = pairs.join(lists.selectExpr("class a", "s x"), "a").join(lists.selectExpr("class b", "s y", "tokens"), "b")
+
+        def shares(place: str, x: str, y: str) -> Column:
+            part = lambda side, most: f"transform(filter({side}, e -> e.{place} <= {most}), e -> e.token)"
+            return F.expr(f"arrays_overlap({part('x', x)}, {part('y', y)})")
+
+        enough = F.expr(f"aggregate(filter(x, e -> array_contains(tokens, e.token)), 0, (sum, e) -> sum + e.w) >= {t}")
+        orders = shares("at", f"n - {least('n', 'm')}", f"m - {least('n', 'm')}") & shares("at2", f"k - {t}", f"l - {t}") & shares("at3", f"k - {t}", f"l - {t}")
+        return both.where(enough & orders).select("a", "b")
 
     links = spark.createDataFrame([], "a bigint, b bigint")
     label = spark.createDataFrame([], "class bigint, component bigint")

@@ -5,10 +5,12 @@ Every table carries its order (doc_id, pos): rows have none of their own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A fragment of at most so many characters without a full stop at its end counts as a heading.
+#: A fragment of at most so many characters without a full stop at its end counts as a heading, if the caller has no other rule.
 HEADING_CHARS = 24
 
 
@@ -22,21 +24,10 @@ def is_heading(text: Column) -> Column:
     return (F.char_length(text) <= HEADING_CHARS) & ~text.endswith(".")
 
 
-def section_carry(rows: DataFrame) -> DataFrame:
+def section_carry(rows: DataFrame, heading: Callable[[Column], Column] = is_heading) -> DataFrame:
     """Each fragment with the last heading at or before it in its document."""
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("section", F.last(F.when(is_heading(F.col("text")), F.col("text")), ignorenulls=True).over(order))
-
-
-def assembled(rows: DataFrame) -> DataFrame:
-    """Wrapped fragments joined: a fragment that ends without a full stop goes on in the next (gaps and islands)."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    begins = F.coalesce(F.lag("text").over(order).endswith("."), F.lit(True)).cast("int")
-    groups = rows.withColumn("begins", begins).withColumn("part", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return groups.groupBy("doc_id", "part").agg(
-        F.min("pos").alias("pos"), F.count("*").alias("fragments"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"),
-    )
+    return rows.withColumn("section", F.last(F.when(heading(F.col("text")), F.col("text")), ignorenulls=True).over(order))
 
 
 def first_of_repeats(rows: DataFrame) -> DataFrame:
@@ -51,20 +42,26 @@ def repeated_chrome(rows: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("text").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("times")).where(F.col("documents") >= least)
 
 
-def sections(rows: DataFrame) -> DataFrame:
+def sections(rows: DataFrame, heading: Callable[[Column], Column] = is_heading) -> DataFrame:
     """Intervals of positions that headings open: doc_id, title, start, stop (the next heading's position, or null)."""
-    heads = rows.where(is_heading(F.col("text")))
+    heads = rows.where(heading(F.col("text")))
     return heads.select("doc_id", F.col("text").alias("title"), F.col("pos").alias("start"), F.lead("pos").over(Window.partitionBy("doc_id").orderBy("pos")).alias("stop"))
 
 
-def in_sections(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Fragments with the section whose interval holds them; the join is on the document, the interval a residue."""
-    r, s = rows.alias("r"), spans.alias("s")
-    return r.join(s, (F.col("r.doc_id") == F.col("s.doc_id")) & (F.col("r.pos") >= F.col("s.start")) & (F.col("s.stop").isNull() | (F.col("r.pos") < F.col("s.stop")))).select("r.*", "s.title", "s.start")
+def in_sections(rows: DataFrame, heading: Callable[[Column], Column] = is_heading) -> DataFrame:
+    """Fragments with the title and start of the section that holds them, carried by a window; those before the first heading are left out."""
+    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.last(F.when(heading(F.col("text")), F.struct("text", "pos")), ignorenulls=True).over(order)
+    return rows.withColumn("_h", head).where("_h is not null").select(*rows.columns, F.col("_h.text").alias("title"), F.col("_h.pos").alias("start"))
+
 
+def whole_fragments(rows: DataFrame) -> DataFrame:
+    """Fragments that aren't a proper prefix of another fragment of their document.
 
-def truncated(rows: DataFrame) -> DataFrame:
-    """Fragments that aren't a proper prefix of another fragment of their document."""
-    a, b = rows.alias("a"), rows.alias("b")
-    longer = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.char_length("b.text") > F.char_length("a.text")) & F.expr("startswith(b.text, a.text)")
-    return a.join(b, longer, "left_anti")
+    In binary order the next greater text after a proper prefix begins with it, so one look ahead among a document's
+    distinct texts decides. Null texts are left out.
+    """
+    each = rows.select("doc_id", "text").where("text is not null").distinct()
+    following = F.lead("text").over(Window.partitionBy("doc_id").orderBy("text"))
+    cut = each.withColumn("_n", following).where(F.startswith("_n", "text")).select("doc_id", "text")
+    return rows.where("text is not null").join(cut, ["doc_id", "text"], "left_anti")

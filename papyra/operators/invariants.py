@@ -14,12 +14,14 @@ TEXT_CHARS, PAGE_SHARE = 20, 0.5
 def text_gate(documents: DataFrame, separator: str = "\n") -> DataFrame:
     """doc_id, pages, chars and status: OCR_REQUIRED if a document has too little text, in all or by page, else READY.
 
+    A page counts as filled from TEXT_CHARS characters on.
+
     Pages are the parts between separators. Null texts have one empty page. No shuffle.
     """
     pages = F.split(F.coalesce("text", F.lit("")), separator)
     sizes = F.transform(pages, lambda x: F.char_length(F.trim(x)))
     counted = documents.select("doc_id", sizes.alias("sizes")).select(
-        "doc_id", F.size("sizes").alias("pages"), F.aggregate("sizes", F.lit(0), lambda a, x: a + x).alias("chars"), F.size(F.filter("sizes", lambda x: x > 0)).alias("filled")
+        "doc_id", F.size("sizes").alias("pages"), F.aggregate("sizes", F.lit(0), lambda a, x: a + x).alias("chars"), F.size(F.filter("sizes", lambda x: x >= TEXT_CHARS)).alias("filled")
     )
     few = (F.col("filled") < PAGE_SHARE * F.col("pages")) | (F.col("chars") < TEXT_CHARS * F.col("pages"))
     status = F.when((F.col("chars") < TEXT_CHARS) | ((F.col("pages") >= 2) & few), "OCR_REQUIRED").otherwise("READY")

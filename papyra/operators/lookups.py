@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +35,14 @@ def validated(claims: DataFrame, rows: DataFrame) -> DataFrame:
     return at.withColumn("status", F.coalesce(status, F.lit("MISMATCH")))
 
 
-def propagated(rows: DataFrame, strong: Column) -> DataFrame:
+def propagated(rows: DataFrame, strong: Column, heading: Callable[[Column], Column] = fr.is_heading) -> DataFrame:
     """Fragments with status OWN if they are strong, SECTION if another of their section is, else NONE.
 
     Fragments before the first heading are a section as well. The section's flag is a window over the document, so that
     the rows are shuffled once.
     """
     doc = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumns({"own": F.coalesce(strong, F.lit(False)), "section": F.count(F.when(fr.is_heading(F.col("text")), 1)).over(doc)})
+    placed = rows.withColumns({"own": F.coalesce(strong, F.lit(False)), "section": F.count(F.when(heading(F.col("text")), 1)).over(doc)})
     any_of = F.bool_or("own").over(Window.partitionBy("doc_id", "section"))
     return placed.withColumn("status", F.when(F.col("own"), "OWN").when(any_of, "SECTION").otherwise("NONE")).drop("own", "section")
 

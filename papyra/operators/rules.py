@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Topic rules of the demonstration queries, in order of precedence: name, words.
@@ -10,11 +12,6 @@ TOPICS = [("licence", ["licensed", "license"]), ("contact", ["@", "(706)"]), ("c
 MARKERS = ["*", "#", "%", "$"]
 
 
-def rule_table(spark: SparkSession) -> DataFrame:
-    """(rule, name, word): a few rows, whatever the corpus."""
-    return spark.createDataFrame([(i, n, w) for i, (n, words) in enumerate(TOPICS) for w in words], "rule int, name string, word string")
-
-
 def first_match(rows: DataFrame) -> DataFrame:
     """Each fragment with the first topic one of whose words it holds; ``other`` if none."""
     text, topic = F.lower("text"), F.lit("other")
@@ -38,16 +35,10 @@ def value_tokens(rows: DataFrame) -> DataFrame:
 
 
 def scored(rows: DataFrame, k: int) -> DataFrame:
-    """For each rule the k best fragments: words found, then the shorter, then document order. The rule side is a few rows."""
-    spark = rows.sparkSession
-    words = F.broadcast(rule_table(spark))
-    hits = rows.join(words, F.lower(F.col("text")).contains(F.col("word")))
-    score = hits.groupBy("rule", "name", "doc_id", "pos").agg(F.count("*").alias("hits"), F.first(F.char_length("text")).alias("chars"))
+    """For each rule the k best fragments: words found, then the shorter, then document order. A fragment's hits are counted in its own row."""
+    low = F.lower("text")
+    hits = lambda words: reduce(lambda a, b: a + b, (F.contains(low, F.lit(w)).cast("bigint") for w in words))
+    every = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(n).alias("name"), hits(words).alias("hits")) for i, (n, words) in enumerate(TOPICS)))
+    score = rows.select("doc_id", "pos", F.char_length("text").alias("chars"), F.explode(F.filter(every, lambda x: x["hits"] > 0)).alias("x"))
     order = Window.partitionBy("rule").orderBy(F.desc("hits"), "chars", "doc_id", "pos")
-    return score.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
-def evidence_state(rows: DataFrame) -> DataFrame:
-    """Per document and topic: how many fragments, and a state from that number."""
-    found = first_match(rows).where("topic != 'other'").groupBy("doc_id", "topic").agg(F.count("*").alias("fragments"))
-    return found.withColumn("state", F.when(F.col("fragments") == 1, "single").when(F.col("fragments") <= 3, "several").otherwise("many"))
+    return score.select("x.rule", "x.name", "doc_id", "pos", "x.hits", "chars").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.operators import fragments as fr
@@ -15,7 +15,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 _LINES = "lines AS (SELECT doc_id, pos, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents) WHERE trim(text, ' ') <> '')"
-_HEAD = "(length(text) <= 24 AND NOT ends_with(text, '.'))"
+#: The documents' short lines without a bar stand for headings: few of them are without a full stop.
+_HEAD = "(length(text) <= 40 AND NOT contains(text, '|'))"
+
+
+def short_line(text: Column) -> Column:
+    return (F.char_length(text) <= 40) & ~text.contains("|")
 
 
 def query(sql: str):  # type: ignore[no-untyped-def]
@@ -42,19 +47,12 @@ def fragment_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LINES} SELECT doc_id, CAST(pos AS INT) AS pos, last_value(CASE WHEN {_HEAD} THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM lines")
 def section_carry(spark: SparkSession, d: str) -> DataFrame:
-    return fr.section_carry(_rows(spark, d)).select("doc_id", "pos", "section")
-
-
-@query(f"""WITH {_LINES}, b AS (SELECT *, CASE WHEN coalesce(ends_with(lag(text) OVER (PARTITION BY doc_id ORDER BY pos), '.'), true) THEN 1 ELSE 0 END AS begins FROM lines),
-g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM b)
-SELECT doc_id, CAST(min(pos) AS INT) AS pos, count(*) AS fragments, sha256(string_agg(text, ' ' ORDER BY pos)) AS digest FROM g GROUP BY doc_id, part""")
-def assembled_fragments(spark: SparkSession, d: str) -> DataFrame:
-    return fr.assembled(_rows(spark, d)).select("doc_id", "pos", "fragments", F.sha2("text", 256).alias("digest"))
+    return fr.section_carry(_rows(spark, d), short_line).select("doc_id", "pos", "section")
 
 
-@query(f"""WITH {_LINES} SELECT CASE WHEN {_HEAD} THEN 'heading' WHEN length(text) < 40 THEN 'short' WHEN text = upper(text) THEN 'shouted' ELSE 'kept' END AS reason, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM lines GROUP BY 1""")
+@query(f"""WITH {_LINES} SELECT CASE WHEN {_HEAD} THEN 'heading' WHEN length(text) < 80 THEN 'short' WHEN text = upper(text) THEN 'shouted' ELSE 'kept' END AS reason, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM lines GROUP BY 1""")
 def drop_reason_counts(spark: SparkSession, d: str) -> DataFrame:
-    reason = F.when(fr.is_heading(F.col("text")), "heading").when(F.char_length("text") < 40, "short").when(F.col("text") == F.upper("text"), "shouted").otherwise("kept")
+    reason = F.when(short_line(F.col("text")), "heading").when(F.char_length("text") < 80, "short").when(F.col("text") == F.upper("text"), "shouted").otherwise("kept")
     return _rows(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
 
 
@@ -96,21 +94,15 @@ def rule_scores_topk(spark: SparkSession, d: str) -> DataFrame:
     return ru.scored(_rows(spark, d), 40)
 
 
-@query(f"WITH {_LINES}, t AS (SELECT doc_id, {_case()} AS topic FROM lines) SELECT doc_id, topic, count(*) AS fragments, CASE WHEN count(*) = 1 THEN 'single' WHEN count(*) <= 3 THEN 'several' ELSE 'many' END AS state FROM t WHERE topic <> 'other' GROUP BY doc_id, topic")
-def evidence_state(spark: SparkSession, d: str) -> DataFrame:
-    return ru.evidence_state(_rows(spark, d))
-
-
 @query(f"""WITH {_LINES}, h AS (SELECT doc_id, text AS title, pos AS start, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS stop FROM lines WHERE {_HEAD})
 SELECT l.doc_id, CAST(l.pos AS INT) AS pos, title, CAST(start AS INT) AS start FROM lines l JOIN h ON l.doc_id = h.doc_id AND l.pos >= start AND (stop IS NULL OR l.pos < stop)""")
 def range_join_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, d)
-    return fr.in_sections(rows, fr.sections(rows)).select("doc_id", "pos", "title", "start")
+    return fr.in_sections(_rows(spark, d), short_line).select("doc_id", "pos", "title", "start")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, CAST(pos AS INT) AS pos FROM lines a WHERE NOT EXISTS (SELECT 1 FROM lines b WHERE a.doc_id = b.doc_id AND length(b.text) > length(a.text) AND starts_with(b.text, a.text))")
 def truncated_drop(spark: SparkSession, d: str) -> DataFrame:
-    return fr.truncated(_rows(spark, d)).select("doc_id", "pos")
+    return fr.whole_fragments(_rows(spark, d)).select("doc_id", "pos")
 
 
 @query("""WITH u AS (SELECT conv_id, turn, 0 AS priority, text FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 1, text FROM conversations WHERE role <> 'assistant'),
@@ -120,10 +112,10 @@ def candidate_union_dedup(spark: SparkSession, d: str) -> DataFrame:
     return rs.union_first([c.where("role = 'assistant'"), c.where("role <> 'assistant'")], ["conv_id", "text"], ["turn"]).select("conv_id", "turn", "priority")
 
 
-@query("""WITH o AS (SELECT o_custkey AS key, o_orderpriority AS value, count(*) AS w FROM orders GROUP BY ALL)
-SELECT key, arg_min(value, (-w, value)) AS resolved, count(*) AS candidates, CAST(sum(w) AS BIGINT) AS votes, CASE WHEN count(*) = 1 THEN 'RESOLVED' ELSE 'NEEDS_REVIEW' END AS status FROM o GROUP BY key""")
+@query("""SELECT o_custkey AS key, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS resolved, count(DISTINCT o_orderstatus) AS candidates, count(*) AS votes,
+CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN 'RESOLVED' ELSE 'NEEDS_REVIEW' END AS status FROM orders GROUP BY o_custkey""")
 def resolve_groups(spark: SparkSession, d: str) -> DataFrame:
-    return rs.resolve(_read(spark, d, "orders"), "o_custkey", F.col("o_orderpriority"), F.lit(1))
+    return rs.resolve(_read(spark, d, "orders"), "o_custkey", F.col("o_orderstatus"))
 
 
 @query("""WITH f AS (SELECT o_custkey AS key, o_orderstatus AS field, 'RESOLVED' AS status, count(*) AS n FROM orders GROUP BY ALL), k AS (SELECT c_custkey AS key, unnest(['F', 'O', 'P']) AS field FROM customer)
@@ -133,7 +125,7 @@ def dense_fields(spark: SparkSession, d: str) -> DataFrame:
     return rs.dense(facts, _read(spark, d, "customer").select(F.col("c_custkey").alias("key")), ["F", "O", "P"]).select("key", "field", "status", "n")
 
 
-@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_orderkey * 10 AS parent FROM lineitem), s AS (SELECT o_orderkey * 10 AS key, o_orderpriority AS item FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT l_orderkey * 10 + l_linenumber, l_returnflag FROM lineitem WHERE l_linenumber = 1)
+@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_orderkey * 10 AS parent FROM lineitem), a AS (SELECT o_orderkey * 10 AS key, o_orderpriority AS item FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT l_orderkey * 10 + l_linenumber, l_returnflag FROM lineitem WHERE l_linenumber = 1), s AS (SELECT key, min(item) AS item FROM a GROUP BY key)
 SELECT c.key, coalesce(o.item, p.item) AS item, CASE WHEN o.item IS NOT NULL THEN 'own' WHEN p.item IS NOT NULL THEN 'parent' ELSE 'none' END AS via FROM c LEFT JOIN s o ON o.key = c.key LEFT JOIN s p ON p.key = c.parent""")
 def parent_key_fallback(spark: SparkSession, d: str) -> DataFrame:
     item = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")

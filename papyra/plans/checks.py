@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from papyra.operators import invariants as iv
 from papyra.operators import lookups as lk
 from papyra.operators import rules as ru
-from papyra.plans.catalog import _HEAD, _LINES, _read, _rows, query
+from papyra.plans.catalog import _HEAD, _LINES, _read, _rows, query, short_line
 
-_STRENGTH = ["purchase", "click", "view"]
+_STRENGTH = ["error", "purchase", "signup", "click", "view"]
 _STRONG = " OR ".join(f"contains(text, '{m}')" for m in ru.MARKERS)
 
 
@@ -43,7 +43,7 @@ def reference_propagation(spark: SparkSession, d: str) -> DataFrame:
     strong = F.lit(False)
     for m in ru.MARKERS:
         strong = strong | F.col("text").contains(m)
-    return lk.propagated(_rows(spark, d), strong).select("doc_id", "pos", "status")
+    return lk.propagated(_rows(spark, d), strong, short_line).select("doc_id", "pos", "status")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, CAST(pos AS INT) AS pos, printf('SR%04d', row_number() OVER (PARTITION BY doc_id ORDER BY pos)) AS id FROM lines")
@@ -65,7 +65,7 @@ def module_order(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "part").select("p_partkey", "p_brand", order.alias("place"))
 
 
-@query(f"""WITH z AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x, ' '))) AS s FROM documents), c AS (SELECT doc_id, len(s) AS pages, list_sum(s) AS chars, len(list_filter(s, lambda x: x > 0)) AS filled FROM z)
+@query(f"""WITH z AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x, ' '))) AS s FROM documents), c AS (SELECT doc_id, len(s) AS pages, list_sum(s) AS chars, len(list_filter(s, lambda x: x >= {iv.TEXT_CHARS})) AS filled FROM z)
 SELECT doc_id, CAST(pages AS INT) AS pages, CAST(chars AS INT) AS chars, CASE WHEN chars < {iv.TEXT_CHARS} OR (pages >= 2 AND (filled < {iv.PAGE_SHARE} * pages OR chars < {iv.TEXT_CHARS} * pages)) THEN 'OCR_REQUIRED' ELSE 'READY' END AS status FROM c""")
 def text_gate(spark: SparkSession, d: str) -> DataFrame:
     return iv.text_gate(_read(spark, d, "documents"))
@@ -90,6 +90,6 @@ def qa_checks(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-@query("SELECT user_id AS key, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'click') THEN 'click' ELSE 'view' END AS status, count(*) AS stated FROM events WHERE event_type IN ('purchase', 'click', 'view') GROUP BY user_id")
+@query("SELECT user_id AS key, " + "CASE " + " ".join(f"WHEN bool_or(event_type = '{s}') THEN '{s}'" for s in _STRENGTH) + " END AS status, count(*) AS stated FROM events GROUP BY user_id")
 def strongest_status(spark: SparkSession, d: str) -> DataFrame:
     return iv.strongest(_read(spark, d, "events"), "user_id", F.col("event_type"), _STRENGTH)

@@ -25,9 +25,9 @@ def test_accounts_close(spark):
 
 
 def test_text_gate(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 19), (4, "x" * 20), (5, "x" * 60 + "\n\n"), (6, "x" * 40 + "\n" + "y")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 19), (4, "x" * 20), (5, "x" * 60 + "\n\n"), (6, "x" * 40 + "\n" + "y"), (7, "x" * 100 + "\ny\ny\ny")], "doc_id bigint, text string")
     got = {r.doc_id: (r.pages, r.chars, r.status) for r in iv.text_gate(docs).collect()}
-    assert got == {1: (1, 0, "OCR_REQUIRED"), 2: (1, 0, "OCR_REQUIRED"), 3: (1, 19, "OCR_REQUIRED"), 4: (1, 20, "READY"), 5: (3, 60, "OCR_REQUIRED"), 6: (2, 41, "READY")}
+    assert got == {1: (1, 0, "OCR_REQUIRED"), 2: (1, 0, "OCR_REQUIRED"), 3: (1, 19, "OCR_REQUIRED"), 4: (1, 20, "READY"), 5: (3, 60, "OCR_REQUIRED"), 6: (2, 41, "READY"), 7: (4, 103, "OCR_REQUIRED")}
 
 
 def test_lookups_on_odd_rows(spark):
@@ -52,3 +52,12 @@ def test_replayed_files_come_once(spark, tmp_path):
 
     assert put((1, "a"), (2, "b"), (2, "b"), (None, "c")) == [(1, "a"), (2, "b")]
     assert put((1, "a"), (2, "other"), (3, None)) == [(1, "a"), (2, "b"), (3, None)]
+
+
+def test_a_new_checkpoint_over_an_old_target(spark, tmp_path):
+    """What another checkpoint has taken in stays, and its ids aren't taken in again."""
+    kind, target = "doc_id bigint, text string", str(tmp_path / "out")
+    for k, rows in enumerate(([(1, "a")], [(2, "b"), (1, "c")], [(3, "d")])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        ingest(spark, str(tmp_path / f"in{k}"), kind, target, str(tmp_path / f"state{k}")).awaitTermination(60)
+    assert sorted(tuple(r) for r in spark.read.parquet(target).select("doc_id", "text").collect()) == [(1, "a"), (2, "b"), (3, "d")]

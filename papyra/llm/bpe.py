@@ -13,7 +13,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import regex
@@ -26,6 +26,8 @@ from papyra.llm.common import add_columns_by, free_names
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that an encoder remembers (about 200 bytes each), and the longest of them.
 KEPT, KEPT_CHARS = 150_000, 48
+#: Characters of a long text that are chunks at one time.
+LONG = 1_000_000
 _AWKWARD = re.compile(r" (?:\s|$)")
 _CHUNK = re.compile(r"(?= \S)")
 
@@ -153,8 +155,22 @@ class Bpe:
             return [c for c in _CHUNK.split(text) if c]
         return [*([first] if first else []), *map(" ".__add__, rest)]
 
+    def segments(self, text: str) -> Iterator[str]:
+        """A long text cut where chunks begin, after each LONG characters; added tokens with blanks forbid cuts."""
+        at = 0
+        while len(text) - at > LONG and not any(" " in x for x in self.added) and (cut := _CHUNK.search(text, at + LONG)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        if any(len(t) > LONG for t in texts):
+            return [b"".join(y for s in self.segments(t) for y in self.encode_short([s])) for t in texts]
+        return self.encode_short(texts)
+
+    def encode_short(self, texts: list[str]) -> list[bytes]:
+        """encode() for texts that may be chunks and symbols in memory all at once."""
         own = {c: np.array([i], "<u4").tobytes() for c, i in self.added.items()}
         cut: list[list[tuple[bool, list[str]]]] = []
         for t in texts:
@@ -189,15 +205,15 @@ class Loaded:
         return cls.held[key]
 
 
-#: Rows that are encoded together, if they are short.
-ROWS = 4096
+#: Rows and bytes of text that are encoded together.
+ROWS, BYTES = 4096, 1 << 20
 
 
 def encoded(documents: DataFrame, tokenizer: str, inputs: list[str], use: Callable[[Bpe, list[tuple], list[bytes]], list[tuple]], schema: str) -> DataFrame:
     """``documents`` with columns that ``use`` makes of the encoder, rows of ``inputs`` (the last is the text) and their ids.
 
-    The vocabulary (a fixed file of ``tokenizer``, read on the driver) is broadcast. A few MB of text are Python strings at
-    one time, unless one row has more.
+    The vocabulary (a fixed file of ``tokenizer``, read on the driver) is broadcast. About a MB of text is Python strings at
+    one time, unless one row has more; of such a row a million characters are cut into chunks at one time.
     """
     held = documents.sparkSession.sparkContext.broadcast(spec(tokenizer))
 
@@ -211,7 +227,7 @@ def encoded(documents: DataFrame, tokenizer: str, inputs: list[str], use: Callab
         rows.close = bpe.known.clear  # type: ignore[attr-defined]
         return rows
 
-    return add_columns_by(documents, inputs, make, schema, ROWS)
+    return add_columns_by(documents, inputs, make, schema, ROWS, BYTES)
 
 
 def encode_table(documents: DataFrame, tokenizer: str, text_col: str = "text", ids: str = "_ids", decoded: str = "_decoded") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -73,8 +74,8 @@ def pieces(columns: tuple[pa.Array, ...], rows: int, size: int = 4 << 20) -> Ite
         at = stop
 
 
-def add_columns_by(df: DataFrame, inputs: list[str], make: Callable[[], Callable[[list[tuple]], list[tuple]]], schema: str, rows: int = SLICE) -> DataFrame:
-    """add_columns() with a function of a few hundred rows (at most ``rows``) at a time, so that it can work on them together."""
+def add_columns_by(df: DataFrame, inputs: list[str], make: Callable[[], Callable[[list[tuple]], list[tuple]]], schema: str, rows: int = SLICE, size: int = 4 << 20) -> DataFrame:
+    """add_columns() with a function of some rows at a time (at most ``rows``, or ``size`` bytes of text), so that it can work on them together."""
     added = T._parse_datatype_string(schema)
     assert isinstance(added, T.StructType)
     clash = {x.lower() for x in df.columns} & {x.lower() for x in added.names}
@@ -85,7 +86,7 @@ def add_columns_by(df: DataFrame, inputs: list[str], make: Callable[[], Callable
         fn = make()
         for batch in batches:
             columns = batch if isinstance(batch, tuple) else (batch,)
-            for part in pieces(columns, rows):
+            for part in pieces(columns, rows, size):
                 out = fn(list(zip(*(c.to_pylist() for c in part), strict=True)))
                 yield pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), new, strict=True)], fields=list(new))
         close = getattr(fn, "close", None)
@@ -115,9 +116,11 @@ def packed(rows: list[tuple], arrow: pa.Schema, size: int = 8192) -> Iterator[pa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, only one machine (as in tests) gets a folder of its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("papyra.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="papyra-")
         spark.conf.set("papyra.shared.dir", found)
     return found.rstrip("/")
@@ -150,17 +153,24 @@ def discard(table: DataFrame) -> None:
         delete(table.sparkSession, path)
 
 
-def release(all_of_them: bool = False) -> None:
-    """Deletes every scratch folder but those to be kept. Results that read one of them must have been written before."""
-    while _scratch or all_of_them and _kept:
-        spark, path = (_scratch or _kept).pop()
+def scratch() -> list[tuple[SparkSession, str]]:
+    """The scratch folders that there are now."""
+    return list(_scratch)
+
+
+def release(folders: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Deletes these scratch folders; without any given all there are, kept ones too. Results that read one of them must have been written before."""
+    for held in folders if folders is not None else [*_scratch, *_kept]:
+        for known in (_scratch, _kept):
+            if held in known:
+                known.remove(held)
         try:
-            delete(spark, path)
+            delete(*held)
         except Exception:  # the session has ended; its shared folder is the cluster's to clear
             return
 
 
-atexit.register(release, True)
+atexit.register(release)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

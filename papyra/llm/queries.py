@@ -43,8 +43,8 @@ def op5_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    out = linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), lines="n_lines", dropped="n_dropped")
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,23 +177,47 @@ def test_bpe_and_tokens(spark, docs, odd):
     assert bpe.encode_table(empty(odd), tokenizer_path()).count() == 0
 
 
+def test_long_texts_are_encoded_in_segments(monkeypatch):
+    b = bpe.Bpe(bpe.spec(tokenizer_path()))
+    texts = ["word salad  again 日本 " * 40 + "x" * 300 + "\n\n  y<|endoftext|> z", " a" * 500, "no blank" + "q" * 400, "", " "]
+    whole = b.encode(texts)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(bpe, "LONG", size)
+        assert b.encode(texts) == whole and ["".join(b.segments(t)) for t in texts] == texts
+
+
 def test_line_dedup(spark, odd):
     common = "This line is long enough to be counted, É."
     rows = [(i, f"own {i}\n  {common.upper().replace('É', 'É')}\t\nend") for i in range(1, 7)] + [(8, common), (8, common), (9, None), (None, common), (10, "é" * 40), (11, "short\n" * 9)]
-    out = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("extra", F.lit(1))).collect()}
+    out = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_id", F.lit(1)), lines="_lines").collect()}
     assert [out[i]._dropped for i in (1, 6, 8, 9, None, 10, 11)] == [1, 1, 0, 0, 0, 0, 0]
     assert out[1]._kept == "own 1\nend" and out[9]._kept == "" and out[9]._lines == 1 and out[None]._kept == common
     assert linededup.dedup(odd).count() == len(ODD) and linededup.dedup(empty(odd)).count() == 0
 
 
 def test_line_runs(spark):
+    """Keys are parted into new and known ones batch by batch; no two runs share a key, and counts add up through compactions."""
     runs = linededup.LineRuns(spark, fan=2)
     batch = lambda ids: spark.createDataFrame([(i, h, 0) for i in ids for h in (7, i)], "doc_id bigint, h1 bigint, h2 bigint")
-    for ids in ([1, 2], [3], [4, 5]):
+    for ids in ([1, 2], [3], [4, 5], [6]):
         runs.add(batch(ids))
-    assert [len(x) for x in runs.levels] == [1, 1]
-    assert [(r.h1, r.n, r["last"]) for r in runs.frequent(5).collect()] == [(7, 5, 5)]
-    assert {r.h1 for r in runs.unseen(batch([5, 6])).collect()} == {6}
+        keys = [r.h1 for run in runs for r in run.collect()]
+        assert len(keys) == len(set(keys))
+    assert sorted(h for run in runs for h in [r.h1 for r in run.collect()]) == [1, 2, 3, 4, 5, 6, 7]
+    assert [(r.h1, r.n, r["last"]) for r in runs.frequent(5).collect()] == [(7, 6, 6)]
+    assert {r.h1 for r in runs.unseen(spark.createDataFrame([(7, 0, 1, 1), (9, 0, 1, 1)], linededup.RUN)).collect()} == {9}
+    plan = runs.unseen(runs._store(spark.createDataFrame([(9, 0, 1, 1)], linededup.RUN)))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in plan
+
+
+def test_line_dedup_needs_the_anti_join(spark, monkeypatch):
+    """Without it a key known from earlier batches counts in pieces, and lines stay."""
+    text = "This line is long enough to be counted in all batches."
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id bigint, text string")
+    total = lambda: sum(r._dropped for r in linededup.dedup(docs, min_docs=20).collect())
+    assert total() == 39
+    monkeypatch.setattr(linededup.LineRuns, "unseen", lambda self, batch: batch)
+    assert total() != 39
 
 
 def test_fingerprints(spark, docs, odd):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,29 +10,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyra.llm import bpe, decontam, jaccard, linededup, quality
-from papyra.llm.common import free_names, release, scratch_dir
+from papyra.llm.common import free_names, release, scratch, scratch_dir
 from papyra.llm.queries import tokenizer_path
 
 
-def _begin() -> None:
-    """The stage before has been written, so the tables that it worked with can go."""
-    release()
+_Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_before: list[tuple[SparkSession, str]] = []
 
 
+def stage(fn: _Stage) -> _Stage:
+    """``fn`` as a stage: the stage before has been written, so the tables that it worked with go, and no others."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _before
+        release(_before)
+        held = scratch()
+        out = fn(spark, docs, sf_dir)
+        _before = [x for x in scratch() if x not in held]
+        return out
+
+    return run_stage
+
+
+@stage
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     return quality.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that five documents share, but for the last that holds them; n_chars follows."""
-    _begin()
-    out = linededup.dedup(docs)
-    changed = F.col("_dropped") > 0
-    size = F.char_length("_kept").cast(docs.schema["n_chars"].dataType)
-    return out.withColumns({"text": F.when(changed, F.col("_kept")).otherwise(F.col("text")), "n_chars": F.when(changed, size).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    kept, dropped = free_names(docs, "_kept", "_dropped")
+    out = linededup.dedup(docs, kept=kept, dropped=dropped)
+    changed = F.col(dropped) > 0
+    size = F.char_length(kept).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns({"text": F.when(changed, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(changed, size).otherwise(F.col("n_chars"))}).select(*docs.columns)
 
 
+@stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row with the smallest id. Rows without an id stay.
 
@@ -39,7 +57,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     all stay. Of a group's rows with the smallest id the one of the least token-set class stays, then of the least text,
     then of the least other columns. An id's rows without any word are one group.
     """
-    _begin()
     key, mark, cls, copies, place = free_names(docs, "_id", "_mark", "_class", "_copies", "_place")
     groups = jaccard.grouped(docs).where("doc_id = component_id").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("class").alias(cls), "component")
     least = groups.groupBy(key, "component").agg(F.min(cls).alias(cls), F.count("*").alias(copies))
@@ -52,19 +69,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.where(F.col(copies) == 1).select(*docs.columns).unionByName(first.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
+@stage
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    _begin()
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents")
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, decoded again: counts and digests of both beside the document's columns, in place of any with their names."""
-    _begin()
     return bpe.digests(docs, tokenizer_path(), *docs.columns)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, _Stage]] = [
     ("quality classifier", good),
     ("line dedup", line_dedup),
     ("n-gram Jaccard join", one_of_each),
@@ -79,8 +96,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, apply in STAGES:
         path = scratch_dir(spark, name.replace(" ", "-"), keep=True)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        apply(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+_libc = ctypes.CDLL(None)
+
 #: Rows of an input batch that are Python objects at one time.
 SLICE = 256
 
@@ -45,6 +48,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
                 yield from packed(rows, arrow)
         if finish:
             yield from packed(list(fn.finish()), arrow)  # type: ignore[attr-defined]
+        fn = batch = part = rows = None
+        tidy()
 
     return df.mapInArrow(run, kind)
 
@@ -89,9 +94,10 @@ def add_columns_by(df: DataFrame, inputs: list[str], make: Callable[[], Callable
             for part in pieces(columns, rows, size):
                 out = fn(list(zip(*(c.to_pylist() for c in part), strict=True)))
                 yield pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), new, strict=True)], fields=list(new))
-        close = getattr(fn, "close", None)
-        if close:
-            close()
+        if hasattr(fn, "close"):
+            fn.close()
+        fn = batch = columns = part = out = None
+        tidy()
 
     if len(inputs) == 1:
 
@@ -109,6 +115,13 @@ def add_columns_by(df: DataFrame, inputs: list[str], make: Callable[[], Callable
     return df.withColumn(held, udf(*inputs)).select(*(F.col(f"`{x}`") for x in df.columns), *(F.col(f"{held}.{x}") for x in added.names))
 
 
+def tidy() -> None:
+    """Gives memory that a task no longer needs back to the machine: a worker without work, kept for later tasks, holds little."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def packed(rows: list[tuple], arrow: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(rows), size):
         columns = list(zip(*rows[at : at + size], strict=True))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from papyra.llm.common import SLICE, WordHashes, add_columns, discard, map_rows, mixed, rolled, written
+from papyra.llm.common import SLICE, WordHashes, add_columns, discard, map_rows, mixed, rolled, tidy, written
 
 WORDS, PERCENT = 5, 80
 #: Seeds of the random orders, the first and the third.
@@ -54,7 +54,7 @@ FREQUENT, ONE_IN = 100_000, 1024
 #: Classes whose documents are found by a broadcast of their ids, 16 bytes each; more are found by a shuffled join.
 MAX_BROADCAST_ROWS = 2_000_000
 #: Tokens that are counted together for the list of frequent ones.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Rounds of first links; parts that a frequent token's classes are dealt to; classes that a task remembers.
 STARS, PARTS, REMEMBERED = 2, 64, 200_000
 #: Bits of a class's parity bitmap, as columns of 64.
@@ -182,6 +182,8 @@ def postings(docs: DataFrame, frequent, collided: frozenset[int], size: int, per
                     if len(last):
                         often = last[np.minimum(np.searchsorted(last, every), len(last) - 1)] == every
                     yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in times])), pa.array(often)], schema=arrow)
+        shingle = done = batch = found = None
+        tidy()
 
     return docs.select("text").mapInArrow(run, kind)
 

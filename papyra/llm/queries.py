@@ -26,8 +26,9 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.Archive.write(_table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
-    return archive.records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = _table(spark, sf_dir, "pages")
+    archive = warc.Archive.write(pages, scratch_dir(spark, "warc"))
+    return archive.find(pages.select("url"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

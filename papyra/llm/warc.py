@@ -2,13 +2,17 @@
 
 Executors write archives (``*.warc.gz``, a gzip member for each record) into a folder that all of them reach. Captures
 are sorted by their URL with the host reversed (then page_id) and stored as compressed blocks of ``BLOCK`` lines, a gzip
-member each; a sparse directory keeps the first and last key, file, offset and length of every block. A search finds
-blocks in the directory, then its key among a block's sorted lines, by binary search, and reads just that range of an archive.
+member each; a sparse directory keeps the first and last key, file, offset and length of every block, by the part of the
+key range that its task had. A search goes by binary search three times: among the parts (one row a task), among a part's blocks in
+the directory, and among a block's lines. What it finds are places in archives; these are sorted, and near ones are read
+at once.
 
 Of records with equal payloads of at least ``MIN_BYTES`` bytes the one with the largest page_id is a response and the
 others are revisits of it. Null html is an empty payload, a null url a record without target. Repeated rows with the
-largest page_id are all responses; a row without page_id is a revisit if a row with one has its payload. A task that
-is tried again writes new files; only files that the captures name count.
+largest page_id are all responses; a row without page_id is a revisit if a row with one has its payload. An empty table gives
+archives without files. A payload is in memory whole, with its record, as a page is in its row. Columns other than page_id, url
+and html, whatever their names, are left out. A task that is tried again writes new files; only files that the captures name
+count.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +40,12 @@ from papyra.llm.common import partitions, written
 MIN_BYTES = 1000
 #: Captures of a block; bytes at which an archive is closed and the next begun.
 BLOCK, ARCHIVE_BYTES = 512, 1 << 30
+#: Ranges of an archive this near to each other are read at once, up to so many bytes; archives are dealt out in stripes.
+GAP, SPAN, STRIPE = 64 << 10, 8 << 20, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 CAPTURES = "surt string, page_id bigint, file string, offset bigint, length bigint"
-DIRECTORY = "first string, last string, file string, offset bigint, length bigint, captures int"
+DIRECTORY = "part int, first string, last string, file string, offset bigint, length bigint, captures int"
+PLACES = "file string, offset bigint, length bigint"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -103,11 +111,17 @@ def parsed(data: bytes) -> tuple[int | None, str | None, int, str, str, int | No
     return _page(field["warc-record-id"]), unquote(url) if url is not None else None, size, digest, field["warc-type"], _page(field.get("warc-refers-to")), payload if field["warc-type"] == "response" else None
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that Hadoop names, and the path in it."""
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest)
+
+
 class Out:
     """A file in the shared folder that pieces are appended to; it takes its name when it is complete."""
 
     def __init__(self, folder: str, kind: str) -> None:
-        self.store, path = fs.FileSystem.from_uri(folder)
+        self.store, path = store_of(folder)
         self.store.create_dir(path, recursive=True)
         self.name = f"{uuid.uuid4().hex}.{kind}.gz"
         self.path, self.size = f"{path}/{self.name}", 0
@@ -128,7 +142,7 @@ class In:
     """Ranges of the files of a folder; a file is opened once."""
 
     def __init__(self, folder: str) -> None:
-        self.store, self.path = fs.FileSystem.from_uri(folder)
+        self.store, self.path = store_of(folder)
         self.name, self.file = "", None
 
     def read(self, name: str, offset: int, length: int) -> bytes:
@@ -180,7 +194,7 @@ class Archive:
                 if out.size >= ARCHIVE_BYTES:
                     out.close()
                     out = None
-                if len(rows) >= 4096 and out is None:
+                if len(rows) >= 4096:  # the file is complete before the task is
                     yield table(rows, arrow)
                     rows = []
             if out:
@@ -192,11 +206,11 @@ class Archive:
         entry, held = T._parse_datatype_string(DIRECTORY), to_arrow_schema(T._parse_datatype_string(DIRECTORY))
 
         def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out, block, rows = None, [], []
+            out, block, rows, part = None, [], [], TaskContext.get().partitionId()  # type: ignore[union-attr]
 
             def close() -> None:
                 data = "".join("\t".join("" if x is None else str(x) for x in line) + "\n" for line in block)
-                rows.append((block[0][0], block[-1][0], out.name, *out.add(squeezed(data.encode())), len(block)))  # type: ignore[union-attr]
+                rows.append((part, block[0][0], block[-1][0], out.name, *out.add(squeezed(data.encode())), len(block)))  # type: ignore[union-attr]
                 block.clear()
 
             for line in rows_of(batches, 4096):
@@ -213,20 +227,17 @@ class Archive:
         ordered = captures.repartitionByRange(partitions(spark), "surt", "page_id", "file", "offset").sortWithinPartitions("surt", "page_id")
         return cls(spark, folder, written(ordered.mapInArrow(index, entry), "directory"))
 
-    def _read(self, blocks: DataFrame, keys: list[str] | None, payloads: bool) -> DataFrame:
-        """Records of these blocks, of all keys or of the given ones only."""
+    def _records(self, places: DataFrame, payloads: bool) -> DataFrame:
+        """The records at these places (file, offset, length) of the archives, stripe by stripe and forward in each."""
         folder, kind = self.folder, T._parse_datatype_string(RECORDS)
         arrow = to_arrow_schema(kind)
 
         def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, archives, rows, size = In(folder), In(folder), [], 0
-            for file, offset, length in rows_of(batches):
-                lines = [x.split("\t") for x in opened(index.read(file, offset, length)).decode().split("\n")[:-1]]
-                if keys is not None:
-                    order = [x[0] for x in lines]
-                    lines = [x for k in keys for x in lines[bisect_left(order, k) : bisect_right(order, k)]]
-                for _, _, name, at, n in sorted(lines, key=lambda x: (x[2], int(x[3]))):  # forward in each archive
-                    *found, payload = parsed(opened(archives.read(name, int(at), int(n))))
+            archives, rows, size = In(folder), [], 0
+            for name, at, spans in runs_of(rows_of(batches, 4096)):
+                data = archives.read(name, at, spans[-1][0] + spans[-1][1] - at)
+                for start, n in spans:
+                    *found, payload = parsed(opened(data[start - at : start - at + n]))
                     rows.append((*found, payload if payloads else None))
                     size += len(payload or b"") if payloads else 64
                     if size >= 4 << 20:
@@ -234,28 +245,97 @@ class Archive:
                         rows, size = [], 0
             if rows:
                 yield table(rows, arrow)
-            index.close()
             archives.close()
 
-        return blocks.select("file", "offset", "length").mapInArrow(read, kind)
+        dealt = places.repartition(partitions(self.spark), "file", F.expr(f"offset div {STRIPE}")).sortWithinPartitions("file", "offset")
+        return dealt.select("file", "offset", "length").mapInArrow(read, kind)
+
+    def _captures(self, blocks: DataFrame, by_key: bool) -> DataFrame:
+        """Places in archives that blocks (file, offset, length) list: all of them, or by_key those of the ``key`` beside the block."""
+        folder, kind = self.folder, T._parse_datatype_string(PLACES)
+        arrow = to_arrow_schema(kind)
+
+        def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, last, lines, order, rows = In(folder), None, [], [], []
+            for file, offset, length, key in rows_of(batches, 4096):
+                if (file, offset) != last:
+                    last, lines = (file, offset), [x.split("\t") for x in opened(index.read(file, offset, length)).decode().split("\n")[:-1]]
+                    order = [x[0] for x in lines]
+                own = lines[bisect_left(order, key) : bisect_right(order, key)] if by_key else lines
+                rows += [(name, int(at), int(n)) for _, _, name, at, n in own]
+                if len(rows) >= 4096:
+                    yield table(rows, arrow)
+                    rows = []
+            if rows:
+                yield table(rows, arrow)
+            index.close()
+
+        keyed = blocks if by_key else blocks.withColumn("key", F.lit(""))
+        dealt = keyed.repartition(partitions(self.spark), "file", "offset").sortWithinPartitions("file", "offset", "key")
+        return dealt.select("file", "offset", "length", "key").mapInArrow(read, kind)
 
     def records(self, *, payloads: bool = False) -> DataFrame:
         """All records, read back by the index; without payloads their digests have been checked all the same."""
-        spread = self.directory.repartition(partitions(self.spark), "file", "offset")
-        return self._read(spread, None, payloads)
+        return self._records(self._captures(self.directory, False), payloads)
 
-    def lookup(self, urls: list[str], *, payloads: bool = True) -> DataFrame:
-        """The records of these URLs. Blocks that can't hold one of the keys are not read: each part of the sorted directory is searched."""
-        keys = sorted({surt(u) for u in urls})
+    def find(self, urls: DataFrame, *, payloads: bool = True) -> DataFrame:
+        """The records of the URLs in the one column of ``urls``, each once however often its URL comes; null counts as the empty URL.
 
-        def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Only blocks that can hold one of the keys are read. The parts' bounds, a row for each task that wrote the index, are held
+        on the driver and sent along; the directory and the keys meet part by part, the part's blocks first.
+        """
+        bounds = sorted(tuple(r) for r in self.directory.groupBy("part").agg(F.min("first").alias("a"), F.max("last").alias("b")).select("a", "b", "part").collect())
+        firsts, lasts, parts = ([x[k] for x in bounds] for k in range(3))
+        search_kind = T._parse_datatype_string("part int, key string")
+        block_kind = T._parse_datatype_string(PLACES + ", key string")
+        key_arrow, block_arrow = to_arrow_schema(search_kind), to_arrow_schema(block_kind)
+
+        def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = holding(*(batch.column(i).to_pylist() for i in (0, 1)), keys)
-                if found:
-                    yield batch.take(pa.array(found))
+                rows = [(parts[i], k) for k in {surt(u) for u in batch.column(0).to_pylist()} for i in holding(firsts, lasts, [k])]
+                if rows:
+                    yield table(rows, key_arrow)
+
+        def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, a, b, places, rows = None, [], [], [], []
+            for part, key, first, last, *place in rows_of(batches, 4096):
+                if part != own:
+                    own, a, b, places = part, [], [], []
+                if key is None:
+                    a.append(first)
+                    b.append(last)
+                    places.append(place)
+                    continue
+                rows += [(*places[i], key) for i in holding(a, b, [key])]
+                if len(rows) >= 4096:
+                    yield table(rows, block_arrow)
+                    rows = []
+            if rows:
+                yield table(rows, block_arrow)
 
-        blocks = self.directory.sortWithinPartitions("first", "last").mapInArrow(near, self.directory.schema)
-        return self._read(blocks, keys, payloads)
+        wanted = urls.select(F.col(f"`{urls.columns[0]}`").cast("string")).distinct().mapInArrow(keys, search_kind).distinct()
+        held = self.directory.select("part", F.lit(None).cast("string").alias("key"), "first", "last", "file", "offset", "length")
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("first", "string"), ("last", "string"), ("file", "string"), ("offset", "bigint"), ("length", "bigint"))]
+        every = held.unionByName(wanted.select("part", "key", *none))
+        met = every.repartition(partitions(self.spark), "part").sortWithinPartitions("part", F.col("key").isNotNull(), "first", "last", "file", "offset")
+        return self._records(self._captures(met.mapInArrow(blocks, block_kind), True), payloads)
+
+    def lookup(self, urls: list[str], *, payloads: bool = True) -> DataFrame:
+        """find() for a list."""
+        return self.find(self.spark.createDataFrame([(u,) for u in urls], "url string"), payloads=payloads)
+
+
+def runs_of(places: Iterable[tuple[str, int, int]]) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
+    """Sorted places (file, offset, length) as file, first offset and the ranges that are read at once."""
+    name, spans = "", []
+    for file, at, n in places:
+        if spans and (file != name or at - spans[-1][0] - spans[-1][1] > GAP or at + n - spans[0][0] > SPAN):
+            yield name, spans[0][0], spans
+            spans = []
+        name = file
+        spans.append((at, n))
+    if spans:
+        yield name, spans[0][0], spans
 
 
 def search(firsts: list[str], key: str) -> range:

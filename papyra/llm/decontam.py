@@ -1,10 +1,14 @@
 """Benchmark decontamination: a broadcast hash set of benchmark n-grams against the windows of every document.
 
+A benchmark of up to ``MAX_BROADCAST_BYTES`` is broadcast with its words. Of a larger one a filter of fixed size is: a bit for
+each hash of a window. Document windows that hit it, and no others, meet the benchmark's in a join on their words. Both
+ways give the same rows.
+
 A word is a maximal run of 0-9, a-z (A-Z are lower-cased first) and characters outside ASCII. An item gives a
 window for each run of ``n`` consecutive words; an item of fewer words, but not none, is one window. Hash hits are
 verified word by word, so a hash collision changes nothing.
 
-Nulls and empty texts have no words. A row without an item id marks words but is in no list of items; equal rows
+Nulls and empty texts have no words, long texts are read whole, empty tables give no rows or no hits. A row without an item id marks words but is in no list of items; equal rows
 of the benchmark count once. Repeated document rows each get their result. Further columns are left alone.
 """
 
@@ -19,13 +23,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import WordHashes, add_columns, map_rows, rolled
+from papyra.llm.common import WordHashes, add_columns, free_names, map_rows, mixed, rolled
 
 #: Upper-case letters to lower case; every other ASCII byte that is no letter or digit to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _RUN = re.compile(rb"[^ ]+")
-#: Benchmarks of more text than this are joined, not broadcast.
-MAX_BROADCAST_BYTES = 4 << 20
+#: Benchmarks of more text than this are not broadcast but a filter of them is, of 2 ** FILTER_BITS bits (8 MB) at most.
+MAX_BROADCAST_BYTES, FILTER_BITS = 4 << 20, 26
 _BITS = 20
 
 
@@ -108,7 +112,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, cut: bool =
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if total > max_broadcast_bytes:
-        return joined(docs, items, n, cut)
+        return joined(docs, items, n, cut, total)
     held = docs.sparkSession.sparkContext.broadcast([tuple(x) for x in items.collect()])
 
     def make() -> Callable[..., list[tuple]]:
@@ -129,24 +133,82 @@ def row_key(documents: DataFrame) -> Column:
     return F.concat(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), F.coalesce(doc_id, F.lit("-")))
 
 
-def hits_by_key(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """key, found (windows) and ids (items) for every key of ``keyed`` (key, text) whose text holds a window: they meet in a join, dealt out by their text."""
+class WindowFilter:
+    """Which hashes of windows a benchmark may have: bits of 64-bit words, for all sizes of windows together."""
+
+    def __init__(self, bits: int, words_: np.ndarray | None = None) -> None:
+        self.bits = bits
+        self.words = np.zeros(1 << (bits - 6), np.uint64) if words_ is None else words_
+
+    def places(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        return mixed(hashes + np.uint64(size)) >> np.uint64(64 - self.bits)
+
+    def add(self, hashes: np.ndarray, size: int) -> None:
+        at = self.places(hashes, size)
+        np.bitwise_or.at(self.words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+
+    def hit(self, hashes: np.ndarray, size: int) -> list[int]:
+        """Places in ``hashes`` that may be windows of the benchmark."""
+        at = self.places(hashes, size)
+        return np.flatnonzero(self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).tolist()
+
+    @classmethod
+    def of(cls, items: DataFrame, n: int, total: int) -> WindowFilter:
+        """The filter of all windows of ``items``: each partition's words that have a bit, put together."""
+        bits = min(FILTER_BITS, max(16, (4 * total).bit_length()))
 
-    def windows(sizes: list[int], every: bool) -> Callable[[], Callable[..., Iterable[tuple]]]:
         def make() -> Callable[..., Iterable[tuple]]:
-            def one(key: str | None, text: str | None) -> Iterable[tuple]:
-                w = words(text)
-                for size in sizes if every else {min(n, len(w))} - {0}:
-                    for start in range(len(w) - size + 1):
-                        yield key, start, size, b" ".join(w[start : start + size]).decode()
+            own, hashes = cls(bits), WordHashes()
+
+            class Bits:
+                def __call__(self, text: str | None) -> Iterable[tuple]:
+                    w = words(text)
+                    if w:
+                        size = min(n, len(w))
+                        own.add(rolled(hashes.array(w), size), size)
+                    return ()
+
+                def finish(self) -> Iterable[tuple]:
+                    at = np.flatnonzero(own.words)
+                    return zip(at.tolist(), own.words[at].view(np.int64).tolist(), strict=True)
+
+            return Bits()
+
+        found = map_rows(items.select("text"), make, "word bigint, bits bigint", finish=True).groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
+        whole = cls(bits)
+        whole.words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+        return whole
 
-            return one
 
-        return make
+def hits_by_key(keyed: DataFrame, items: DataFrame, n: int, total: int) -> DataFrame:
+    """key, found (windows) and ids (items) for every key of ``keyed`` (key, text) whose text holds a window: those that pass the filter meet in a join, dealt out by their text."""
 
-    made = map_rows(items, windows([], False), "item_id string, start bigint, size bigint, gram string").groupBy("size", "gram").agg(F.collect_set("item_id").alias("ids"))
+    def item_windows() -> Callable[..., Iterable[tuple]]:
+        def one(item_id: str | None, text: str | None) -> Iterable[tuple]:
+            w = words(text)
+            size = min(n, len(w))
+            for start in range(len(w) - size + 1 if w else 0):
+                yield item_id, size, b" ".join(w[start : start + size]).decode()
+
+        return one
+
+    made = map_rows(items, item_windows, "item_id string, size bigint, gram string").groupBy("size", "gram").agg(F.collect_set("item_id").alias("ids"))
     sizes = [r[0] for r in made.select("size").distinct().collect()]  # at most n numbers
-    own = map_rows(keyed.distinct(), windows(sizes, True), "key string, start bigint, size bigint, gram string")
+    held = keyed.sparkSession.sparkContext.broadcast(WindowFilter.of(items, n, total))
+
+    def own_windows() -> Callable[..., Iterable[tuple]]:
+        known, hashes = held.value, WordHashes()
+
+        def one(key: str | None, text: str | None) -> Iterable[tuple]:
+            w = words(text)
+            own = hashes.array(w)
+            for size in sizes:
+                for start in known.hit(rolled(own, size), size):
+                    yield key, start, size, b" ".join(w[start : start + size]).decode()
+
+        return one
+
+    own = map_rows(keyed.distinct(), own_windows, "key string, start bigint, size bigint, gram string")
     return own.join(made, ["size", "gram"]).groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("found"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
 
 
@@ -154,10 +216,10 @@ def spans_of(found: list[dict] | None) -> list[tuple[int, int]]:
     return merged((x["start"], x["start"] + x["size"]) for x in found or ())
 
 
-def joined(docs: DataFrame, items: DataFrame, n: int, cut: bool) -> DataFrame:
+def joined(docs: DataFrame, items: DataFrame, n: int, cut: bool, total: int) -> DataFrame:
     """scan() for benchmarks of any size."""
     keyed = docs.withColumn("key", row_key(docs))
-    hit = hits_by_key(keyed.select("key", "text"), items, n)
+    hit = hits_by_key(keyed.select("key", "text"), items, n, total)
 
     def finish() -> Callable[..., list[tuple]]:
         return lambda doc_id, text, found, ids: [row(doc_id, text, len(words(text)), spans_of(found), ids or (), cut)]
@@ -171,22 +233,25 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, re
     All columns stay; with spans, n_chars follows the text if the table has that column. Every row is judged by its
     own text, whatever the size of the benchmark and whether its id is null or comes again.
     """
-    held = scan_rows(documents, benchmark, n, remove == "spans", max_broadcast_bytes)
+    hit, text = free_names(documents, "_hit", "_cleaned")
+    held = scan_rows(documents, benchmark, n, remove == "spans", max_broadcast_bytes, hit, text)
     if remove == "documents":
-        return held.where("not _hit").select(*documents.columns)
-    out = held.withColumn("text", F.col("_cleaned"))
+        return held.where(~F.col(hit)).select(*documents.columns)
+    out = held.withColumn("text", F.col(text))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
 
 
-def scan_rows(documents: DataFrame, benchmark: DataFrame, n: int, cut: bool, max_broadcast_bytes: int) -> DataFrame:
-    """``documents`` with _hit and _cleaned beside its own columns: in one pass, or joined as in scan()."""
+def scan_rows(documents: DataFrame, benchmark: DataFrame, n: int, cut: bool, max_broadcast_bytes: int, hit: str, text: str) -> DataFrame:
+    """``documents`` with the columns ``hit`` and ``text`` (cleaned) beside its own: in one pass, or joined as in scan()."""
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    added = f"{hit} boolean, {text} string"
     if total > max_broadcast_bytes:
-        keyed = documents.withColumn("_key", row_key(documents))
-        hit = hits_by_key(keyed.select(F.col("_key").alias("key"), F.col("text").cast("string").alias("text")), items, n).select(F.col("key").alias("_key"), F.col("found").alias("_found"))
+        key, found_ = free_names(documents, "_key", "_found")
+        keyed = documents.withColumn(key, row_key(documents))
+        hits = hits_by_key(keyed.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")), items, n, total).select(F.col("key").alias(key), F.col("found").alias(found_))
 
         def judge() -> Callable[..., tuple]:
             def one(text: str | None, found: list[dict] | None) -> tuple:
@@ -195,7 +260,7 @@ def scan_rows(documents: DataFrame, benchmark: DataFrame, n: int, cut: bool, max
 
             return one
 
-        return add_columns(keyed.join(hit, "_key", "left"), ["text", "_found"], judge, "_hit boolean, _cleaned string")
+        return add_columns(keyed.join(hits, key, "left"), ["text", found_], judge, added)
     held = documents.sparkSession.sparkContext.broadcast([tuple(x) for x in items.collect()])
 
     def make() -> Callable[..., tuple]:
@@ -207,4 +272,4 @@ def scan_rows(documents: DataFrame, benchmark: DataFrame, n: int, cut: bool, max
 
         return one
 
-    return add_columns(documents, ["text"], make, "_hit boolean, _cleaned string")
+    return add_columns(documents, ["text"], make, added)

@@ -12,23 +12,26 @@ texts are there, as in compare(), the prefix is their longest common extension;
 the kept prefixes show it, up to a fifth too short.
 
 Null texts count as empty; empty texts are equal to each other and have likeness 0 to others. Rows are followed by the
-row with the next smaller doc_id; rows without an id come last; equal ids are in order of their text. A table of one
-row is followed by itself.
+row with the next smaller doc_id; rows without an id come last; equal ids are in order of a hash of their text, then of their
+text, and repeated rows of their place in the input, so that an id which many rows have is dealt to many tasks. A table of one
+row is followed by itself, an empty one gives no rows. Texts are handled whole, one after the other: a text's arrays take about
+50 bytes a character while it and its neighbour are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from papyra.llm.common import mixed, partitions
+from papyra.llm.common import map_rows, mixed, packed, partitions, pieces, written
 
 SPAN, KEPT = 16, 64
 #: Two primes below 2^31 and the bases: hashes are pairs, 62 bits.
@@ -47,9 +50,14 @@ MARKS = np.array(_marks(), np.int64)
 
 
 class Powers:
-    """Powers of the bases, and of their inverses, as far as they have been asked for."""
+    """Powers of the bases, and of their inverses, as far as they have been asked for; those for very long texts are let go."""
+
+    KEPT = 1 << 20
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.up = [np.ones(1, np.uint64) for _ in PRIMES]
         self.down = [np.ones(1, np.uint64) for _ in PRIMES]
 
@@ -61,6 +69,11 @@ class Powers:
                     table[k] = np.concatenate((table[k], table[k] * np.uint64(pow(bases[k], size, p)) % np.uint64(p)))
 
 
+    def let_go(self) -> None:
+        if len(self.up[0]) > self.KEPT:
+            self.clear()
+
+
 POWERS = Powers()
 
 
@@ -158,58 +171,69 @@ def likeness(a: str, b: str, common: int | None = None) -> float:
 
 
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Rows at the edges of a range: the number of the range, whether it is the first row, and the row.
+EDGE = "range int, head boolean, edge_id bigint, edge_text string"
 
 
 def compare(documents: DataFrame) -> DataFrame:
     """The fingerprint of every row of ``documents`` (doc_id, text), of its edited text, and how near the next row's is.
 
     The edited text has its last third (rounded down) replaced by the beginning of the next row's text, by descending
-    doc_id; the last row is followed by the first. Rows go to ranges of ids; the first row of each range goes to the
-    range before as well, so that each range knows what follows it.
+    doc_id; the last row is followed by the first. Rows are sorted in ranges, one a task, with one exchange. A task knows what follows
+    all its rows but the last; the first and the last row of each range, two for each task, are put together afterwards.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = max(2, partitions(spark))
-    cuts = sorted(set(docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []))
-    # Bucket 0 has the largest ids; a row without an id goes to the last bucket.
-    bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("doc_id"))), F.lit(len(cuts))) if cuts else F.lit(0)
-    placed = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(bucket).cast("int"))
-    firsts = placed.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect()  # at most one row a partition
-    order = sorted(firsts, key=lambda r: r["bucket"])
-    guests = [(r["bucket"], r["doc_id"], order[k - 1]["bucket"]) for k, r in enumerate(order)]  # the first bucket's goes to the last
-    at = spark.createDataFrame(guests, "bucket int, doc_id bigint, host int")
-    guest = (
-        placed.alias("p").join(F.broadcast(at.alias("g")), (F.col("p.bucket") == F.col("g.bucket")) & F.col("p.doc_id").eqNullSafe(F.col("g.doc_id")))
-        .groupBy(F.col("g.host").alias("bucket"), F.col("p.doc_id").alias("doc_id")).agg(F.min("p.text").alias("text")).withColumn("guest", F.lit(1))
-    )
-    every = placed.withColumn("guest", F.lit(0)).unionByName(guest)
-    # The rank within a bucket: own rows by descending id, then the guest.
-    dealt = every.select("bucket", "guest", "doc_id", "text").repartitionByRange(n, "bucket").sortWithinPartitions(F.col("bucket"), F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("text"))
-    kind = T._parse_datatype_string(SCHEMA)
+    placed = docs.withColumns({"mark": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").desc_nulls_last(), F.col("mark"), F.col("text"), F.col("at")]
+    dealt = placed.repartitionByRange(max(2, partitions(spark)), F.col("doc_id").desc_nulls_last(), "mark", "at").sortWithinPartitions(*order).select("doc_id", "text")
+    kind = T._parse_datatype_string(f"{SCHEMA}, {EDGE}")
     arrow = to_arrow_schema(kind)
+    blank = (None,) * len(T._parse_datatype_string(SCHEMA))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs() -> Iterator[tuple]:
-            held, mark = None, ""  # bucket, doc_id, text and its prefix arrays
+        me = TaskContext.get().partitionId()  # type: ignore[union-attr]
+
+        def found() -> Iterator[tuple]:
+            held = None  # doc_id, text, its prefix arrays and fingerprint
             for batch in batches:
-                for at in range(0, batch.num_rows, 128):
-                    for b, g, doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
+                for part in pieces(tuple(batch.columns), 128) if batch.num_rows else ():
+                    for doc_id, text in zip(*(c.to_pylist() for c in part), strict=True):
                         sums = Prefixes(text)
-                        own = fingerprint(sums)
-                        if held is not None and held[0] == b:
-                            yield follow(held[1], held[2], held[3], mark, text, sums, own)
-                        held, mark = (None, "") if g else ((b, doc_id, text, sums), own)
+                        own = doc_id, text, sums, fingerprint(sums)
+                        if held is None:
+                            yield *blank, me, True, doc_id, text
+                        else:
+                            yield *follow(*held[:3], held[3], text, sums, own[3]), None, None, None, None
+                        held = own
+                        POWERS.let_go()
+            if held is not None:
+                yield *blank, me, False, held[0], held[1]
 
         rows: list[tuple] = []
-        for row in pairs():
+        for row in found():
             rows.append(row)
             if len(rows) >= 1024:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                yield from packed(rows, arrow)
                 rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        yield from packed(rows, arrow)
+
+    every = written(dealt.mapInArrow(run, kind), "followed")
+    edges = every.where("range is not null").select("range", "head", F.col("edge_id").alias("doc_id"), F.col("edge_text").alias("text"))
+    # Each range's last row and the first of the next range that has rows, the last range's the very first: two rows a task.
+    heads = edges.where("head").select("range", F.col("text").alias("next"))
+    ranges = sorted(r[0] for r in heads.select("range").collect())
+    follows = spark.createDataFrame([(r, ranges[(i + 1) % len(ranges)]) for i, r in enumerate(ranges)], "range int, following int")
+    pairs = edges.where("not head").join(follows, "range").join(heads.withColumnRenamed("range", "following"), "following")
+
+    def last() -> Callable[..., list[tuple]]:
+        def one(doc_id: int | None, text: str, following: str) -> list[tuple]:
+            a, b = Prefixes(text), Prefixes(following)
+            return [follow(doc_id, text, a, fingerprint(a), following, b, fingerprint(b))]
+
+        return one
 
-    return dealt.mapInArrow(run, kind)
+    return every.where("range is null").select(*T._parse_datatype_string(SCHEMA).names).unionByName(map_rows(pairs.select("doc_id", "text", "next"), last, SCHEMA))
 
 
 def edited(text: str, following: str) -> str:

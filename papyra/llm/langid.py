@@ -6,8 +6,9 @@ and are stored bit-sliced: slot i has one bit for each language, so that one AND
 languages that contain an n-gram. A text's score in a language is how many of its n-grams have the language's bit,
 less what false positives are expected to add; the highest decides, and ties go to the language with more documents.
 
-The grams are learned from a bounded sample of labelled rows: about ``MAX_ROWS`` of each language, chosen by a hash
-of the text. Prediction reads whole texts. Texts without a letter, and nulls, are ``und`` with score 0; so is
+A slot has 64 bits; more languages take further slices. The grams are learned from a bounded sample of labelled rows: about
+``MAX_ROWS`` of each language, chosen by a hash of id and text, in which repeated rows count once. Prediction reads whole
+texts, and repeated rows each get theirs. Texts without a letter, and nulls, are ``und`` with score 0; so is
 everything if there is nothing to learn from. Rows without a language teach nothing.
 """
 
@@ -27,7 +28,7 @@ ORDERS = (2, 3, 4)
 #: Labelled rows of a language that are learned from, about; n-grams of each order and language that are kept.
 MAX_ROWS, KEPT = 4000, 1500
 #: Languages that fit into a slot.
-MAX_LANGUAGES = 64
+WIDTH = 64
 PROBES = 3
 #: Letters of a text that are looked up together.
 BLOCK = 1 << 20
@@ -57,29 +58,29 @@ def code_points(text: str) -> np.ndarray:
 
 
 class SlicedBloom:
-    """Bloom filters of up to 64 languages that are read together."""
+    """Bloom filters of any number of languages, 64 in a slice, that are read together."""
 
     def __init__(self, languages: list[str], members: list[list[int]]) -> None:
         self.languages = languages
         most = max([1, *map(len, members)])
         self.bits = max(10, int(np.ceil(np.log2(most * 12))))
-        self.slots = np.zeros(1 << self.bits, np.uint64)
+        self.slices = [np.zeros(1 << self.bits, np.uint64) for _ in range(0, max(1, len(languages)), WIDTH)]
         for k, found in enumerate(members):
             for at in self.places(np.array(found, np.uint64)):
-                self.slots[at] |= np.uint64(1 << k)
+                self.slices[k // WIDTH][at] |= np.uint64(1 << k % WIDTH)
         one = np.uint64(1)
-        self.false = np.array([float(((self.slots >> np.uint64(k)) & one).mean()) ** PROBES for k in range(len(languages))])
+        self.false = np.array([float(((self.slices[k // WIDTH] >> np.uint64(k % WIDTH)) & one).mean()) ** PROBES for k in range(len(languages))])
 
     def places(self, hashes: np.ndarray) -> Iterable[np.ndarray]:
         mask = np.uint64((1 << self.bits) - 1)
         for j in range(PROBES):
             yield ((hashes >> np.uint64(j * 20)) & mask).astype(np.int64)
 
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that have it, as bits."""
+    def masks(self, hashes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """For each n-gram the languages of a slice that have it, as bits."""
         out = None
         for at in self.places(hashes):
-            found = self.slots[at]
+            found = slots[at]
             out = found if out is None else out & found
         return out  # type: ignore[return-value]
 
@@ -92,12 +93,13 @@ class SlicedBloom:
             for order in ORDERS:
                 own = grams(letters[at : at + BLOCK + order - 1], order)
                 n += len(own)
-                masks = self.masks(own)
-                for low in range(0, k, 12):  # a slice of bits: how often each set of languages, then each language
-                    width = min(12, k - low)
-                    sets = np.bincount(((masks >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64), minlength=1 << width)
-                    for j in range(width):
-                        out[low + j] += sets.reshape(-1, 2, 1 << j)[:, 1].sum()
+                for first, slots in zip(range(0, k, WIDTH), self.slices, strict=False):
+                    masks = self.masks(own, slots)
+                    for low in range(0, min(WIDTH, k - first), 12):  # a slice of bits: how often each set of languages, then each language
+                        width = min(12, k - first - low)
+                        sets = np.bincount(((masks >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64), minlength=1 << width)
+                        for j in range(width):
+                            out[first + low + j] += sets.reshape(-1, 2, 1 << j)[:, 1].sum()
         return out, n
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -113,14 +115,12 @@ class SlicedBloom:
 
 def learn(rows: DataFrame, *, max_rows: int = MAX_ROWS, kept: int = KEPT) -> SlicedBloom:
     """Filters from labelled rows (text, lang)."""
-    rows = rows.where("text is not null and lang is not null").select("text", "lang")
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(n) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}  # a row a language
     if not n:
         return SlicedBloom([], [])
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, max_rows / v))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("text", "lang").distinct()
 
     def make() -> Callable[..., Iterable[tuple]]:
         seen: dict[str, Counter] = {}
@@ -140,7 +140,7 @@ def learn(rows: DataFrame, *, max_rows: int = MAX_ROWS, kept: int = KEPT) -> Sli
 
     found = map_rows(chosen, make, "lang string, size int, gram bigint, n bigint", finish=True).groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
-    top = found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= kept).select("lang", "gram").collect()  # at most 64 * 3 * kept rows
+    top = found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= kept).select("lang", "gram").collect()  # at most 3 * kept rows a language
     members: dict[str, list[int]] = {k: [] for k in n}
     for r in top:
         members[r["lang"]].append(r["gram"] % (1 << 64))

@@ -54,7 +54,7 @@ def test_decontaminated_rows_are_judged_by_their_own_text(spark, remove):
     """Null and repeated ids with clean and contaminated texts, the benchmark broadcast and joined."""
     items = spark.createDataFrame([(1, "again; word salad"), (None, "two")], "item_id bigint, text string")
     table = [(None, "a clean row"), (None, "Word salad again, word salad"), (None, "another clean row"), (None, None), (None, ""), (1, "clean"), (1, "so: again word salad!"), (1, "clean"), (2, "one two three"), (2, "one two three"), (3, None), (4, "")]
-    docs = spark.createDataFrame([(i, t, k, len(t or "")) for k, (i, t) in enumerate(table)], "doc_id bigint, text string, place int, n_chars int")
+    docs = spark.createDataFrame([(i, t, k, len(t or "")) for k, (i, t) in enumerate(table)], "doc_id bigint, text string, _hit int, n_chars int")
     cleaned = {1: "Word salad ", 6: "so: !", 8: "one  three", 9: "one  three"}
     if remove == "documents":
         want = [(i, t, k, len(t or "")) for k, (i, t) in enumerate(table) if k not in cleaned]
@@ -66,6 +66,19 @@ def test_decontaminated_rows_are_judged_by_their_own_text(spark, remove):
         assert sorted(map(tuple, out.collect()), key=lambda r: r[2]) == want
 
 
+def test_only_windows_that_pass_the_filter_are_joined(spark, docs):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = decontam.WindowFilter.of(items, 10, 1 << 20)
+    hashes = decontam.WordHashes()
+    for r in items.collect():
+        w = decontam.words(r.text)
+        own = decontam.rolled(hashes.array(w), min(10, len(w)))
+        assert whole.hit(own, min(10, len(w))) == list(range(len(own)))
+    passing = sum(len(whole.hit(decontam.rolled(hashes.array(decontam.words(r.text)), 10), 10)) for r in docs.collect())
+    every = sum(max(0, len(decontam.words(r.text)) - 9) for r in docs.collect())
+    assert 0 < passing < every / 20
+
+
 def test_warc_round_trip(spark):
     page = "<p>" + "x" * 1000
     rows = [(1, "http://b.example.org/z", page), (2, "http://a.example.org/?q=1\n2", page), (3, None, None), (4, "", "short"), (5, "http://a.example.org/é", "short"), (2, "http://a.example.org/?q=1\n2", page), (None, "http://c.example", page)]
@@ -96,8 +109,19 @@ def test_warc_lookup_searches_the_directory(spark):
     rows = [(k, f"http://h{k % 7}.example/{k // 2 if k % 3 else 'same'}", f"p{k}") for k in range(4_000)]  # keys within a block and over several
     archive = warc.Archive.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), scratch_dir(spark, "t"))
     assert archive.directory.count() >= 8
-    for urls in ([rows[0][1]], [rows[5][1], rows[3_999][1], rows[3][1]], ["http://none.example/"], []):
+    for urls in ([rows[0][1]], [rows[5][1], rows[3_999][1], rows[3][1]], ["http://none.example/"], [], [u for _, u, _ in rows]):
         assert sorted(r.page_id for r in archive.lookup(urls).collect()) == [k for k, u, _ in rows if u in urls]
+    hot = spark.createDataFrame([(k, "http://one.example/" if k % 3 else None, "x") for k in range(3_000)], "page_id bigint, url string, offset string")
+    archive = warc.Archive.write(hot.withColumn("html", F.lit(None).cast("string")), scratch_dir(spark, "t"))
+    assert archive.find(hot.select("url")).count() == 3_000 and archive.lookup(["http://one.example/"]).count() == 2_000
+
+
+def test_warc_reads_near_ranges_at_once(monkeypatch):
+    monkeypatch.setattr(warc, "GAP", 5)
+    monkeypatch.setattr(warc, "SPAN", 30)
+    places = [("a", 0, 10), ("a", 10, 10), ("a", 25, 3), ("a", 28, 10), ("a", 60, 1), ("b", 61, 100), ("b", 161, 1)]
+    assert list(warc.runs_of(places)) == [("a", 0, [(0, 10), (10, 10), (25, 3)]), ("a", 28, [(28, 10)]), ("a", 60, [(60, 1)]), ("b", 61, [(61, 100)]), ("b", 161, [(161, 1)])]
+    assert list(warc.runs_of([])) == []
 
 
 def test_language(spark, docs, odd):

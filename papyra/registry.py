@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.plans import cases, catalog, checks, clauses, facts, layout  # noqa: F401 (the others add their queries to the catalog)
+from papyra.plans import cases, catalog, checks, clauses, facts, layout, results  # noqa: F401 (the others add their queries to the catalog)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ of the fit; on it the ridge scores are calibrated by pool-adjacent-violators, so
 
 Fitted on a bounded sample of labelled rows: at most ``MAX_ROWS``, chosen by a hash of the id. Prediction reads whole
 texts of all rows. Null and empty texts have the statistics of the empty text and get a score like any other. With no
-label to learn from, every score is 0.5; with one class only, it is that class.
+label to learn from, every score is 0.5; with one class only, it is that class. Repeated rows each get their score and teach
+each by itself, an empty table gives no rows. Columns other than doc_id and text, whatever their names, are left out by
+score() and stay in accept().
 """
 
 from __future__ import annotations

@@ -1,4 +1,9 @@
-"""A corpus from raw documents to tokens: stages that each write a table which the next one reads."""
+"""A corpus from raw documents to tokens: stages that each write a table which the next one reads.
+
+Rows are judged one by one: repeated rows and rows without an id go through the classifier, line dedup, decontamination and
+encoding like others, each with its own result; only the Jaccard stage keeps one of them. Null texts stay null (as tokens they
+count as empty), long texts are taken whole, further columns stay, whatever their names, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

@@ -65,38 +65,18 @@ def _weights(text: Column, words: tuple[str, ...], besides: Column | None = None
     return reduce(lambda a, b: a + b, (F.when(seen(w), weight(w)).otherwise(0.0) for w in words), F.lit(0.0))
 
 
-def hit(rule: Rule, words: Words) -> Column:
-    """What a fragment (text, context, section, kind) is to a rule: scores and flags, as a struct."""
-    text, context, section, cell = F.col("text"), F.col("context"), F.col("section"), F.col("kind") == "cell"
-    direct, around = _weights(text, rule.terms), _weights(context, rule.terms, text)
-    any_direct, only_context = _count(text, rule.terms) > 0, (_count(text, rule.terms) == 0) & (_count(context, rule.terms) > 0)
+def _found(rule: Rule, words: Words) -> Column:
+    """What a fragment (text, context, section) has of a rule, as a struct of counts and flags: each word is looked for once."""
+    text, context, section = F.col("text"), F.col("context"), F.col("section")
     both = F.concat_ws("\n", text, context)
-    families = reduce(lambda a, b: a + b, ((_count(both, ts) > 0).cast("int") for _, ts in rule.families))
-    has = lambda c, ws, x: F.when(tx.contains_any(c, ws), x).otherwise(0.0)
-    focus = _count(text, rule.focus)
-    sharp = F.when(focus > 0, F.least(F.lit(4.0), 1.5 + 0.75 * focus)).when(_count(context, rule.focus) > 0, -0.75).otherwise(-3.0) if rule.focus else F.lit(0.0)
-    heading = tx.is_structural_heading(text)
-    relevance = (
-        direct + FAMILY * F.least(families, F.lit(4)) + has(section, rule.priority, PRIORITY) + has(section, rule.hints, HINT) + has(text, rule.positive, POSITIVE) + has(text, rule.negative, NEGATIVE)
-        + F.when(cell, CELL).otherwise(0.0) + sharp + has(text, words.operative, OPERATIVE) + F.when(only_context, CONTEXT_ONLY).otherwise(0.0) + F.when(heading, HEADING).otherwise(0.0)
-    )
-    retrieval = direct + CONTEXT * around
-    source = F.when(cell, 1.0).otherwise(0.75) + has(section, rule.priority, 2.0)
-    final = F.round(retrieval + relevance + source, 3)
     strong = tuple(t for t in rule.terms if len(t) >= 3 or t in ("★", "CA"))
     grouped = reduce(lambda a, b: a & b, (tx.contains_any(text, g) for g in rule.groups), F.lit(True))
-    excluded = tx.contains_any(text, rule.exclusions) if not rule.groups else F.lit(False)
-    eligible = (
-        ((~heading) | F.lit(rule.module in words.heading_modules)) & ~tx.is_navigation(text) & ~excluded & grouped
-        & ~(any_direct & (F.lit(bool(rule.focus)) & (focus == 0))) & ~(any_direct & (_count(text, strong) == 0) & (families < 2))
-        & (~only_context | (cell & (final >= CONTEXT_LEAST))) & (final >= LEAST)
-        & (tx.contains_any(text, words.scoring) | F.lit(rule.module != words.scoring_module or not words.scoring_module))
-    )
-    if rule.module not in words.heading_modules:
-        eligible = eligible & ~tx.is_bare_label(text, list(words.operative), list(rule.focus))
     return F.struct(
-        F.lit(rule.id).alias("rule"), F.round(retrieval, 3).alias("retrieval"), F.round(relevance, 3).alias("relevance"), F.round(source, 3).alias("source"), final.alias("final"),
-        eligible.alias("eligible"), any_direct.alias("direct"), (any_direct | only_context).alias("hit"), families.alias("families"), tx.hits(text, rule.focus).alias("focus"),
+        F.lit(rule.id).alias("rule"), _weights(text, rule.terms).alias("direct"), _weights(context, rule.terms, text).alias("around"), _count(text, strong).alias("strong"),
+        reduce(lambda a, b: a + b, (tx.contains_any(both, ts).cast("int") for _, ts in rule.families)).alias("families"), tx.hits(text, rule.focus).alias("focus"), _count(context, rule.focus).alias("beside"),
+        F.lit(bool(rule.focus)).alias("focused"), tx.contains_any(section, rule.priority).alias("priority"), tx.contains_any(section, rule.hints).alias("hinted"), tx.contains_any(text, rule.positive).alias("positive"),
+        tx.contains_any(text, rule.negative).alias("negative"), ((tx.contains_any(text, rule.exclusions) if not rule.groups else F.lit(False)) | ~grouped).alias("out"),
+        F.lit(rule.module in words.heading_modules).alias("headed"), F.lit(rule.module != words.scoring_module or not words.scoring_module).alias("unscored"),
     )
 
 
@@ -108,9 +88,32 @@ def scored(rows: DataFrame, rules: list[Rule], words: Words, top: int = TOP) ->
     """
     for c, v in (("context", ""), ("section", ""), ("kind", "block")):
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v))
-    each = rows.where("text is not null").select("doc_id", "pos", "text", "section", F.explode(F.filter(F.array(*(hit(r, words) for r in rules)), lambda x: x["hit"])).alias("x")).select("doc_id", "pos", "text", "section", "x.*")
+    every = F.array(*(_found(r, words) for r in rules))
+    each = rows.where("text is not null").select("doc_id", "pos", "text", "section", F.col("kind").alias("_kind"), F.explode(F.filter(every, lambda x: (x["direct"] > 0) | (x["around"] > 0))).alias("x"))
+    each = each.select("doc_id", "pos", "text", "section", "_kind", "x.*", tx.is_structural_heading(F.col("text")).alias("heading"), tx.contains_any(F.col("text"), words.operative).alias("operative"))
+    c = F.col
+    add = lambda flag, x: F.when(flag, x).otherwise(0.0)
+    cell, alone, focus = c("_kind") == "cell", c("direct") == 0, F.size("focus")
+    sharp = F.when(~c("focused"), 0.0).when(focus > 0, F.least(F.lit(4.0), 1.5 + 0.75 * focus)).when(c("beside") > 0, -0.75).otherwise(-3.0)
+    relevance = (
+        c("direct") + FAMILY * F.least(c("families"), F.lit(4)) + add(c("priority"), PRIORITY) + add(c("hinted"), HINT) + add(c("positive"), POSITIVE) + add(c("negative"), NEGATIVE) + add(cell, CELL)
+        + sharp + add(c("operative"), OPERATIVE) + add(alone, CONTEXT_ONLY) + add(c("heading"), HEADING)
+    )
+    scores = each.withColumns({"retrieval": c("direct") + CONTEXT * c("around"), "relevance": relevance, "source": F.when(cell, 1.0).otherwise(0.75) + add(c("priority"), 2.0)})
+    scores = scores.withColumn("final", F.round(c("retrieval") + c("relevance") + c("source"), 3))
     best = Window.partitionBy("doc_id", "rule").orderBy(F.desc("final"), "pos")
-    return each.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top).drop("hit")
+    kept = scores.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
+    # Whether a fragment may be evidence is asked of the best only.
+    label = F.lit(False)
+    for r in rules:
+        if r.module not in words.heading_modules:
+            label = label | ((c("rule") == r.id) & tx.is_bare_label(c("text"), list(words.operative), list(r.focus)))
+    eligible = (
+        (~c("heading") | c("headed")) & ~c("out") & (alone | ~(c("focused") & (focus == 0))) & (alone | (c("strong") > 0) | (c("families") >= 2)) & (~alone | (cell & (c("final") >= CONTEXT_LEAST)))
+        & (c("final") >= LEAST) & (tx.contains_any(c("text"), words.scoring) | c("unscored")) & ~tx.is_navigation(c("text")) & ~label
+    )
+    rounded = [F.round(x, 3).alias(x) for x in ("retrieval", "relevance", "source")]
+    return kept.select("doc_id", "pos", "text", "section", "rule", *rounded, "final", eligible.alias("eligible"), (~alone).alias("direct"), "families", "focus", "place")
 
 
 def near_duplicate(a: str, b: str, contained: int = 18, alike: int = 28, ratio: float = 0.92) -> bool:

@@ -46,6 +46,7 @@ INSTRUCTIONS = ("盖章", "盖单位章", "签字", "公章", "签章", "电子
 EDGES = " \t\r\n,，;；。.!！？?"
 QUOTES = ("“”", '""', "''", "‘’", "「」", "『』", "（）", "()")
 
+_QUOTED = "(?s)^(?:" + "|".join(f"{re.escape(q[0])}.*{re.escape(q[1])}" for q in QUOTES) + ")$"
 _CANDIDATE = ("doc_id", "field", "pos", "value", "method", "confidence", "evidence")
 
 
@@ -54,8 +55,7 @@ def cleaned(value: Column, layers: int = 3) -> Column:
     peel = lambda x: F.trim(F.btrim(F.trim(x), F.lit(EDGES)))
 
     def once(v: Column) -> Column:
-        quoted = reduce(lambda a, b: a | b, (v.startswith(q[0]) & v.endswith(q[1]) for q in QUOTES))
-        return F.when(quoted & (F.char_length(v) >= 2), peel(F.substring(v, F.lit(2), F.char_length(v) - 2))).otherwise(v)
+        return F.when(v.rlike(_QUOTED), peel(F.substring(v, F.lit(2), F.char_length(v) - 2))).otherwise(v)
 
     out = peel(value)
     for _ in range(layers):
@@ -80,18 +80,23 @@ def is_instruction(value: Column) -> Column:
 
 def is_label_list(value: Column, labels: list[str]) -> Column:
     """A single line that is a label, or several lines each of which is a label or short without digits and punctuation."""
+    names = F.array(*map(F.lit, labels))
     lines = F.filter(F.transform(F.split(F.replace(value, F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    known = lambda x: F.array_contains(F.array(*map(F.lit, labels)), _bare(x))
-    like = lambda x: ~x.rlike("[:：]") & ((_bare(x) == "") | known(x) | ((F.char_length(_bare(x)) <= 12) & ~_bare(x).rlike(r"[。！？，、；0-9]")))
-    return F.when(F.size(lines) == 1, known(lines[0])).otherwise((F.size(lines) > 1) & F.forall(lines, like) & F.exists(lines, lambda x: _bare(x) != ""))
+    bare = F.transform(lines, lambda x: F.struct(x.rlike("[:：]").alias("pair"), _bare(x).alias("t")))
+    short = lambda t: (F.char_length(t) <= 12) & ~t.rlike(r"[。！？，、；0-9]")
+    like = lambda x: ~x["pair"] & ((x["t"] == "") | F.array_contains(names, x["t"]) | short(x["t"]))
+    return tx.let(bare, lambda b: F.when(F.size(b) == 1, F.array_contains(names, b[0]["t"])).otherwise((F.size(b) > 1) & F.forall(b, like) & F.exists(b, lambda x: x["t"] != "")))
 
 
 def is_no_value(value: Column, labels: list[str], placeholders: tuple[str, ...] = ()) -> Column:
     """Whether a text is a placeholder, reference, role, unit, rule, instruction, list of labels or cut at an open bracket. Never null."""
-    own = tx.squeezed(tx.plain(value))
-    open_ = lambda a, b: F.length(own) - F.length(F.translate(own, a, "")) > F.length(own) - F.length(F.translate(own, b, ""))
-    said = F.rtrim(own, F.lit(":")).isin(*ROLES, *placeholders) | _bare(F.trim(value)).isin(*UNITS) | own.startswith("见")
-    return F.coalesce((own == "") | said | open_("(", ")") | open_("（", "）") | is_blank_rule(value) | is_instruction(value) | is_label_list(value, labels), F.lit(True))
+
+    def test(own: Column) -> Column:
+        open_ = lambda a, b: F.length(F.translate(own, a, "")) < F.length(F.translate(own, b, ""))
+        said = F.rtrim(own, F.lit(":")).isin(*ROLES, *placeholders) | _bare(F.trim(value)).isin(*UNITS) | own.startswith("见")
+        return (own == "") | said | open_("(", ")") | open_("（", "）") | is_blank_rule(value) | is_instruction(value) | is_label_list(value, labels)
+
+    return F.coalesce(tx.let(tx.squeezed(tx.plain(value)), test), F.lit(True))
 
 
 def is_header_block(evidence: Column, label: Column, labels: list[str]) -> Column:

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,32 +54,27 @@ def merged_segments(segments: DataFrame, gap: float) -> DataFrame:
     return runs.groupBy("page", "y", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count("*").alias("parts")).drop("run")
 
 
-MATCHED = "page bigint, source bigint, target bigint"
-
-
 def one_to_one(source: DataFrame, target: DataFrame, dy: float, dx: float) -> DataFrame:
     """(page, source, target): source lines (page, id, y, x0, x1) in order of id each take the nearest line left on their page.
 
     Near is |y| at most ``dy`` and both ends at most ``dx`` away; nearest by the sum of the three, then by id. What finds no line,
     on either side, comes with a null. Candidates are a join on page and a band of y; the choice, which hangs on those
-    before it, is made page by page.
+    before it, is a fold over a page's lines.
     """
     s, t = source.alias("s"), target.alias("t")
     away = F.abs(F.col("s.y") - F.col("t.y")), F.abs(F.col("s.x0") - F.col("t.x0")), F.abs(F.col("s.x1") - F.col("t.x1"))
     met = s.join(t, (F.col("s.page") == F.col("t.page")) & (away[0] <= dy) & (away[1] <= dx) & (away[2] <= dx))
-    met = met.select(F.col("s.page").cast("bigint").alias("page"), F.col("s.id").cast("bigint").alias("source"), F.col("t.id").cast("bigint").alias("target"), (away[0] + away[1] + away[2]).cast("double").alias("d"))
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        out = []
-        for s_id, group in rows.sort_values(["source", "d", "target"]).groupby("source", sort=True):
-            free = [x for x in group["target"].tolist() if x not in taken]
-            if free:
-                taken.add(free[0])
-                out.append((rows["page"].iloc[0], s_id, free[0]))
-        return pd.DataFrame(out, columns=["page", "source", "target"])
-
-    pairs = met.groupBy("page").applyInPandas(choose, MATCHED)
+    near = F.struct((away[0] + away[1] + away[2]).cast("double").alias("d"), F.col("t.id").cast("bigint").alias("target"))
+    found = met.groupBy(F.col("s.page").cast("bigint").alias("page"), F.col("s.id").cast("bigint").alias("source")).agg(F.array_sort(F.collect_list(near)).alias("near"))
+    lines = found.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("source", F.transform("near", lambda x: x["target"]).alias("targets")))).alias("lines"))
+
+    def take(acc: Column, x: Column) -> Column:
+        free = F.get(F.array_except(x["targets"], acc["taken"]), F.lit(0))
+        pair = F.struct(x["source"].alias("source"), free.alias("target"))
+        return F.when(free.isNull(), acc).otherwise(F.struct(F.concat(acc["taken"], F.array(free)).alias("taken"), F.concat(acc["out"], F.array(pair)).alias("out")))
+
+    none = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<struct<source:bigint,target:bigint>>").alias("out"))
+    pairs = lines.select("page", F.explode(F.aggregate("lines", none, take, lambda a: a["out"])).alias("p")).select("page", "p.source", "p.target")
     lost = source.select(F.col("page").cast("bigint").alias("page"), F.col("id").cast("bigint").alias("source")).join(pairs, ["page", "source"], "left")
     new = target.select(F.col("page").cast("bigint").alias("page"), F.col("id").cast("bigint").alias("target")).join(pairs, ["page", "target"], "left_anti")
     return lost.unionByName(new.select("page", F.lit(None).cast("bigint").alias("source"), "target"))

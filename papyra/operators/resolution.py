@@ -33,15 +33,15 @@ def without_truncated(candidates: DataFrame) -> DataFrame:
     """Without candidates that are visibly a piece of another of their document and field, or another with rubbish at its end.
 
     Texts are compared without white space and punctuation; those of fewer than four characters always stay. The other
-    candidates of a group come as a list of distinct texts, each with its greatest confidence: as long as a document has
-    different values for one field. ``candidates`` has doc_id, field, value, normalized, confidence and, if cells are told
+    candidates of a group come as a list of distinct texts and confidences: as long as a document has different values for one
+    field. ``candidates`` has doc_id, field, value, normalized, confidence and, if cells are told
     apart, ``in_cell``.
     """
     text = F.regexp_replace(F.coalesce("normalized", "value"), _EDGES, "")
     cell = F.col("in_cell") if "in_cell" in candidates.columns else F.lit(False)
     own = candidates.withColumns({"_text": text, "_cell": cell})
-    others = own.groupBy("doc_id", "field", "_text").agg(F.max("confidence").alias("best")).groupBy("doc_id", "field").agg(F.collect_list(F.struct(F.col("_text").alias("o"), F.col("best").alias("c"))).alias("_others"))
-    joined = own.join(others.withColumnsRenamed({"doc_id": "_d", "field": "_f"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("field") == F.col("_f")))
+    others = F.collect_set(F.struct(F.col("_text").alias("o"), F.col("confidence").alias("c"))).over(Window.partitionBy("doc_id", "field"))
+    joined = own.withColumn("_others", others)
     n, mine, trust = F.char_length("_text"), F.col("_text"), F.col("confidence")
     ends = F.rtrim("value").rlike("[。;；)）]$")
     rest = F.col("value").rlike(r"(?U)\s[^\s]{1,3}$") & F.col("_cell")

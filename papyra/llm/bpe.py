@@ -14,6 +14,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import regex
@@ -24,8 +25,8 @@ from papyra.llm.common import add_columns_by, free_names
 
 #: The split pattern of byte-level vocabularies. Fixed value: it has to equal the library's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks that an encoder remembers (about 200 bytes each), and the longest of them.
-KEPT, KEPT_CHARS = 150_000, 48
+#: Chunks that an encoder remembers (about 200 bytes each) within a task and between tasks, and the longest of them.
+KEPT, RESTING, KEPT_CHARS = 500_000, 100_000, 48
 #: Characters of a long text that are chunks at one time.
 LONG = 1_000_000
 _AWKWARD = re.compile(r" (?:\s|$)")
@@ -134,26 +135,32 @@ class Bpe:
         stops = (4 * np.cumsum(keep)[ends - 1]).tolist()
         return [out[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
-    def learn(self, every: set[str]) -> dict[str, bytes]:
-        """Ids, as little-endian 32-bit integers, of these chunks; short ones are remembered."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        cut = {c: self.split.findall(c) for c in every if c not in self.known}
-        pieces = list({p for x in cut.values() for p in x})
-        ids = dict(zip(pieces, self.merge([p.encode() for p in pieces]), strict=True))
-        new = {c: ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x)) for c, x in cut.items()}
-        self.known.update((c, x) for c, x in new.items() if len(c) <= KEPT_CHARS)
-        return new
+    def rest(self) -> None:
+        """Forgets all chunks but those that came first, which are the common ones."""
+        if len(self.known) > RESTING:
+            self.known = dict(islice(self.known.items(), RESTING))
+
+    def learn(self, new: set[str], heads: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids, as little-endian 32-bit integers, of chunks that aren't known, and of heads. A known chunk that is a piece of them isn't merged again."""
+        known, find = self.known, self.split.findall
+        cut = {c: [" " + c] if c.isalpha() else find(" " + c) for c in new}  # letters alone are one piece
+        whole = {c: find(c) for c in heads}
+        pieces = set().union(*cut.values(), *whole.values())
+        held = {p: known[p[1:]] for p in pieces if p[0] == " " and p[1:] in known}
+        rest = list(pieces.difference(held))
+        ids = dict(zip(rest, self.merge([p.encode() for p in rest]), strict=True)) | held
+        joined = lambda x: ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x))
+        return {c: joined(x) for c, x in cut.items()}, {c: joined(x) for c, x in whole.items()}
 
     def chunks(self, text: str) -> list[str]:
-        """The text cut before each blank that a character other than white space follows.
+        """The text cut before each blank that a character other than white space follows: the head, then chunks without their blanks.
 
         The pattern always begins a piece there, so chunks can be split into pieces one by one.
         """
-        first, *rest = text.split(" ")
         if _AWKWARD.search(text):
-            return [c for c in _CHUNK.split(text) if c]
-        return [*([first] if first else []), *map(" ".__add__, rest)]
+            first, *rest = _CHUNK.split(text)
+            return [first, *(c[1:] for c in rest)]
+        return text.split(" ")
 
     def segments(self, text: str) -> Iterator[str]:
         """A long text cut where chunks begin, after each LONG characters; added tokens with blanks forbid cuts."""
@@ -172,15 +179,24 @@ class Bpe:
     def encode_short(self, texts: list[str]) -> list[bytes]:
         """encode() for texts that may be chunks and symbols in memory all at once."""
         own = {c: np.array([i], "<u4").tobytes() for c, i in self.added.items()}
-        cut: list[list[tuple[bool, list[str]]]] = []
+        cut: list[list[list[str]]] = []  # of each text its parts; every second is an added token
         for t in texts:
             parts = self.special.split(t) if self.special and any(x in t for x in self.added) else [t]
-            cut.append([(k % 2 == 1, [p] if k % 2 else self.chunks(p)) for k, p in enumerate(parts)])
-        every = set().union(*(c for x in cut for special, c in x if not special))
+            cut.append([[p] if k % 2 else self.chunks(p) for k, p in enumerate(parts)])
+        plain = [c for x in cut for c in x[::2]]
+        heads = {c[0] for c in plain}
+        every = set().union(*(c[1:] for c in plain))
+        if len(self.known) > KEPT:
+            self.rest()
         known = self.known
-        mine = {c: known[c] for c in every if c in known}
-        mine |= self.learn(every - mine.keys())
-        return [b"".join([y for special, c in x for y in (map(own.__getitem__, c) if special else map(mine.__getitem__, c))]) for x in cut]
+        new, first = self.learn(every.difference(known), heads)
+        known.update(new)
+        get = known.__getitem__
+        out = [b"".join([y for k, c in enumerate(x) for y in ((own[c[0]],) if k % 2 else (first[c[0]], *map(get, c[1:])))]) for x in cut]
+        for c in new:
+            if len(c) > KEPT_CHARS:
+                del known[c]
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -192,7 +208,7 @@ def spec(path: str) -> str:
 
 
 class Loaded:
-    """One vocabulary a Python worker, which serves its later tasks; what a task has learned of chunks goes at its end."""
+    """One vocabulary a Python worker, which serves its later tasks; most of what a task has learned of chunks goes at its end."""
 
     held: dict[str, Bpe] = {}
 
@@ -206,13 +222,13 @@ class Loaded:
 
 
 #: Rows and bytes of text that are encoded together.
-ROWS, BYTES = 4096, 1 << 20
+ROWS, BYTES = 4096, 2 << 20
 
 
 def encoded(documents: DataFrame, tokenizer: str, inputs: list[str], use: Callable[[Bpe, list[tuple], list[bytes]], list[tuple]], schema: str) -> DataFrame:
     """``documents`` with columns that ``use`` makes of the encoder, rows of ``inputs`` (the last is the text) and their ids.
 
-    The vocabulary (a fixed file of ``tokenizer``, read on the driver) is broadcast. About a MB of text is Python strings at
+    The vocabulary (a fixed file of ``tokenizer``, read on the driver) is broadcast. About two MB of text are Python strings at
     one time, unless one row has more; of such a row a million characters are cut into chunks at one time.
     """
     held = documents.sparkSession.sparkContext.broadcast(spec(tokenizer))
@@ -224,7 +240,7 @@ def encoded(documents: DataFrame, tokenizer: str, inputs: list[str], use: Callab
             whole = [(*x[:-1], x[-1] or "") for x in given]
             return use(bpe, whole, bpe.encode([x[-1] for x in whole]))
 
-        rows.close = bpe.known.clear  # type: ignore[attr-defined]
+        rows.close = bpe.rest  # type: ignore[attr-defined]
         return rows
 
     return add_columns_by(documents, inputs, make, schema, ROWS, BYTES)

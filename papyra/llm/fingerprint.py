@@ -13,7 +13,7 @@ the kept prefixes show it, up to a fifth too short.
 
 Null texts count as empty; empty texts are equal to each other and have likeness 0 to others. Rows are followed by the
 row with the next smaller doc_id; rows without an id come last; equal ids are in order of a hash of their text, then of their
-text, and repeated rows of their place in the input, so that an id which many rows have is dealt to many tasks. A table of one
+text, so that an id which many rows have is dealt to many tasks (rows that are equal in id and text go to one). A table of one
 row is followed by itself, an empty one gives no rows. Texts are handled whole, one after the other: a text's arrays take about
 50 bytes a character while it and its neighbour are compared.
 """
@@ -21,17 +21,16 @@ row is followed by itself, an empty one gives no rows. Texts are handled whole,
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from papyra.llm.common import map_rows, mixed, packed, partitions, pieces, written
+from papyra.llm.common import mixed, packed, partitions, pieces
 
 SPAN, KEPT = 16, 64
 #: Two primes below 2^31 and the bases: hashes are pairs, 62 bits.
@@ -171,69 +170,81 @@ def likeness(a: str, b: str, common: int | None = None) -> float:
 
 
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Rows at the edges of a range: the number of the range, whether it is the first row, and the row.
-EDGE = "range int, head boolean, edge_id bigint, edge_text string"
+#: Keys a range that the bounds of ranges are chosen from.
+SAMPLED = 50
+
+
+def _before(cut: tuple[int | None, int]) -> Column:
+    """Whether a row (doc_id, mark) comes before a bound, by descending id with nulls last, then by mark."""
+    doc_id, mark = cut
+    least = F.col("mark") < mark
+    if doc_id is None:
+        return F.col("doc_id").isNotNull() | least
+    return F.coalesce((F.col("doc_id") > doc_id) | ((F.col("doc_id") == doc_id) & least), F.lit(False))
+
+
+def _range_of(cuts: list[tuple[int | None, int]], low: int, high: int) -> Column:
+    """The number of a row's range among ordered bounds, by a tree of tests as deep as the logarithm of their number."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(_before(cuts[mid]), _range_of(cuts, low, mid)).otherwise(_range_of(cuts, mid + 1, high))
 
 
 def compare(documents: DataFrame) -> DataFrame:
     """The fingerprint of every row of ``documents`` (doc_id, text), of its edited text, and how near the next row's is.
 
     The edited text has its last third (rounded down) replaced by the beginning of the next row's text, by descending
-    doc_id; the last row is followed by the first. Rows are sorted in ranges, one a task, with one exchange. A task knows what follows
-    all its rows but the last; the first and the last row of each range, two for each task, are put together afterwards.
+    doc_id; the last row is followed by the first. Rows go to ranges of (doc_id, hash of the text), whose bounds come from a bounded
+    sample of these keys; the first row of each range goes to the range before as well, so that each range knows what follows it.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed = docs.withColumns({"mark": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
-    order = [F.col("doc_id").desc_nulls_last(), F.col("mark"), F.col("text"), F.col("at")]
-    dealt = placed.repartitionByRange(max(2, partitions(spark)), F.col("doc_id").desc_nulls_last(), "mark", "at").sortWithinPartitions(*order).select("doc_id", "text")
-    kind = T._parse_datatype_string(f"{SCHEMA}, {EDGE}")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    n = max(2, partitions(spark))
+    share = min(1.0, SAMPLED * n / max(1, docs.count()))
+    keys = docs.select("doc_id", "mark").where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().collect()  # about SAMPLED a range
+    found = sorted((tuple(r) for r in keys), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    cuts = [found[i * len(found) // n] for i in range(1, n)] if len(found) >= n else found[1:]
+    placed = docs.withColumn("bucket", _range_of(cuts, 0, len(cuts)))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("k"), F.col("mark").alias("mark"), "doc_id")
+    firsts = placed.groupBy("bucket").agg(F.min(key).alias("f")).select("bucket", "f.doc_id", "f.mark").collect()  # a row a range
+    order = sorted(firsts, key=lambda r: r["bucket"])
+    guests = [(r["bucket"], r["doc_id"], r["mark"], order[k - 1]["bucket"]) for k, r in enumerate(order)]  # the first range's goes to the last
+    at = spark.createDataFrame(guests, "bucket int, doc_id bigint, mark bigint, host int")
+    same = (F.col("p.bucket") == F.col("g.bucket")) & F.col("p.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("p.mark") == F.col("g.mark"))
+    guest = (
+        placed.alias("p").join(F.broadcast(at.alias("g")), same)
+        .groupBy(F.col("g.host").alias("bucket"), F.col("p.doc_id").alias("doc_id"), F.col("p.mark").alias("mark")).agg(F.min("p.text").alias("text")).withColumn("guest", F.lit(1))
+    )
+    columns = ["bucket", "guest", "doc_id", "mark", "text"]
+    every = placed.withColumn("guest", F.lit(0)).select(*columns).unionByName(guest.select(*columns))
+    # The order within a range: own rows by descending id, then the guest.
+    dealt = every.repartitionByRange(n, "bucket").sortWithinPartitions(F.col("bucket"), F.col("guest"), F.col("doc_id").desc_nulls_last(), "mark", "text").select("bucket", "guest", "doc_id", "text")
+    kind = T._parse_datatype_string(SCHEMA)
     arrow = to_arrow_schema(kind)
-    blank = (None,) * len(T._parse_datatype_string(SCHEMA))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me = TaskContext.get().partitionId()  # type: ignore[union-attr]
-
-        def found() -> Iterator[tuple]:
-            held = None  # doc_id, text, its prefix arrays and fingerprint
+        def pairs() -> Iterator[tuple]:
+            held = None  # range, doc_id, text, its prefix arrays and fingerprint
             for batch in batches:
                 for part in pieces(tuple(batch.columns), 128) if batch.num_rows else ():
-                    for doc_id, text in zip(*(c.to_pylist() for c in part), strict=True):
+                    for b, g, doc_id, text in zip(*(c.to_pylist() for c in part), strict=True):
                         sums = Prefixes(text)
-                        own = doc_id, text, sums, fingerprint(sums)
-                        if held is None:
-                            yield *blank, me, True, doc_id, text
-                        else:
-                            yield *follow(*held[:3], held[3], text, sums, own[3]), None, None, None, None
-                        held = own
+                        own = fingerprint(sums)
+                        if held is not None and held[0] == b:
+                            yield follow(held[1], held[2], held[3], held[4], text, sums, own)
+                        held = None if g else (b, doc_id, text, sums, own)
                         POWERS.let_go()
-            if held is not None:
-                yield *blank, me, False, held[0], held[1]
 
         rows: list[tuple] = []
-        for row in found():
+        for row in pairs():
             rows.append(row)
             if len(rows) >= 1024:
                 yield from packed(rows, arrow)
                 rows = []
         yield from packed(rows, arrow)
 
-    every = written(dealt.mapInArrow(run, kind), "followed")
-    edges = every.where("range is not null").select("range", "head", F.col("edge_id").alias("doc_id"), F.col("edge_text").alias("text"))
-    # Each range's last row and the first of the next range that has rows, the last range's the very first: two rows a task.
-    heads = edges.where("head").select("range", F.col("text").alias("next"))
-    ranges = sorted(r[0] for r in heads.select("range").collect())
-    follows = spark.createDataFrame([(r, ranges[(i + 1) % len(ranges)]) for i, r in enumerate(ranges)], "range int, following int")
-    pairs = edges.where("not head").join(follows, "range").join(heads.withColumnRenamed("range", "following"), "following")
-
-    def last() -> Callable[..., list[tuple]]:
-        def one(doc_id: int | None, text: str, following: str) -> list[tuple]:
-            a, b = Prefixes(text), Prefixes(following)
-            return [follow(doc_id, text, a, fingerprint(a), following, b, fingerprint(b))]
-
-        return one
-
-    return every.where("range is null").select(*T._parse_datatype_string(SCHEMA).names).unionByName(map_rows(pairs.select("doc_id", "text", "next"), last, SCHEMA))
+    return dealt.mapInArrow(run, kind)
 
 
 def edited(text: str, following: str) -> str:

@@ -171,3 +171,68 @@ def used_by(index: DataFrame, rows: DataFrame, least: int = 20) -> DataFrame:
     e, r = index.alias("e"), rows.alias("r")
     met = e.join(r, (F.col("e.doc_id") == F.col("r.doc_id")) & (F.col("e.page") == F.col("r.page")) & F.contains(F.col("r.excerpt"), F.left(F.col("e.excerpt"), F.lit(least))), "left")
     return met.groupBy(F.col("e.doc_id").alias("doc_id"), F.col("e.evidence").alias("evidence")).agg(F.array_sort(F.array_compact(F.collect_set("r.id"))).alias("used"))
+
+
+def units_of(blocks: DataFrame, cells: DataFrame) -> DataFrame:
+    """Evidence units in order: blocks, and table rows with their cells joined by bars, each with the heading and clause number that hold for it.
+
+    ``blocks`` has doc_id, page, pos, text; ``cells`` doc_id, page, pos, table, row, col, text. A heading holds until the next one and
+    one page on; a row without a clause number has that of the last row before it in its table.
+    """
+    from papyra.operators import criticality as cr
+    from papyra.operators import requirements as rq
+
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("col", F.trim("text").alias("t")))), lambda x: x["t"])
+    rows = cells.groupBy("doc_id", "page", "table", "row").agg(F.min("pos").alias("pos"), F.array_join(F.filter(parts, lambda x: x != ""), " | ").alias("text"))
+    rows = rows.where("text != ''").join(cr.carried_clauses(cells), ["doc_id", "table", "row"], "left").select("doc_id", "page", "pos", "text", F.lit("row").alias("kind"), F.coalesce("clause", F.lit("")).alias("clause"))
+    own = blocks.where("trim(text) != ''").select("doc_id", "page", "pos", "text", F.lit("block").alias("kind"), rq.clause_number(F.col("text")).alias("clause"))
+    every = own.unionByName(rows)
+    placed = cr.headings_with_expiry(every, (F.col("kind") == "block") & tx.is_structural_heading(F.col("text")))
+    return placed.withColumn("unit", F.format_string("EU%04d", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))))
+
+
+def facets(atoms_: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Further atoms for facets (suffix, concern, pattern) that an atom's text has, where no atom of the document has that concern already.
+
+    ``atoms_`` has doc_id, atom, concern, text. The test is on the atoms as they come, so that one facet doesn't keep another out.
+    """
+    owned = atoms_.select("doc_id", "concern").distinct()
+    out = [atoms_.where(F.col("text").rlike(p)).select("doc_id", F.concat_ws(".", "atom", F.lit(s)).alias("atom"), F.lit(c).alias("concern"), "text").join(owned, ["doc_id", "concern"], "left_anti") for s, c, p in rules]
+    return reduce(DataFrame.unionByName, out).select("doc_id", "atom", "concern", "text")
+
+
+def owned_numbers(numbers_: DataFrame, members: DataFrame, roles: list[tuple[str, str]]) -> DataFrame:
+    """Numbers (doc_id, id, value, role, at) of each concern's members (doc_id, concern, id) whose role (concern, role) it may own: each (value, role) once, in order."""
+    may = F.lit(False)
+    for c, r in roles:
+        may = may | ((F.col("concern") == c) & (F.col("role") == r))
+    met = members.join(numbers_, ["doc_id", "id"]).where(may).groupBy("doc_id", "concern", "value", "role").agg(F.min(F.struct("id", "at")).alias("first"))
+    return met.groupBy("doc_id", "concern").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "value", "role"))), lambda x: F.concat_ws(":", x["role"], x["value"])).alias("numbers"))
+
+
+def rendered(rows: DataFrame, templates: dict[str, str], default: str = "{text}") -> DataFrame:
+    """Each row's text by its concern's template: {name} stands for the row's column of that name, empty if it is null."""
+    out = F.lit(default)
+    for concern, t in templates.items():
+        out = F.when(F.col("concern") == concern, F.lit(t)).otherwise(out)
+    for c in rows.columns:
+        out = F.replace(out, F.lit("{" + c + "}"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return rows.withColumn("rendered", out)
+
+
+def primary_sources(members: DataFrame, words: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Of each concern's members (doc_id, concern, atom, n, text, mandatory) the one that stands for it: most of its words, mandatory, a figure, the first."""
+    score = F.lit(0)
+    for concern, ws in words.items():
+        score = F.when(F.col("concern") == concern, sum((F.contains("text", F.lit(w)).cast("int") for w in ws), F.lit(0))).otherwise(score)
+    rank = F.struct((-score).alias("s"), (~F.col("mandatory")).alias("m"), (~F.col("text").rlike("[0-9]")).alias("f"), "n")
+    return members.groupBy("doc_id", "concern").agg(F.min_by(F.struct("atom", "text"), rank).alias("p"), F.count("*").alias("members")).select("doc_id", "concern", "p.atom", "p.text", "members")
+
+
+def related(items: DataFrame, facts: DataFrame, decisions: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Items (doc_id, id, concern, atom) with the fact of their concern's field and the schedule's decision for their atom; nulls without."""
+    field = F.lit(None).cast("string")
+    for concern, f in fields.items():
+        field = F.when(F.col("concern") == concern, F.lit(f)).otherwise(field)
+    a = items.withColumn("field", field).join(facts.where("status = 'RESOLVED'").select("doc_id", "field", F.col("value").alias("fact")), ["doc_id", "field"], "left")
+    return a.join(decisions.select("doc_id", "atom", F.col("value").alias("decision")), ["doc_id", "atom"], "left").select("doc_id", "id", "concern", "field", "fact", "decision")

@@ -177,3 +177,11 @@ def resolved_slots(slots: DataFrame, allowed: DataFrame, facts: DataFrame) -> Da
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def lines_of_blocks(lines: DataFrame, blocks: DataFrame, slack: float = 1.0) -> DataFrame:
+    """Each line (page, line, box) with the block (page, block, box) that holds it, widened by ``slack``; of several the smallest, then the first."""
+    s, b = lines.alias("s"), blocks.alias("b")
+    size = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
+    met = s.join(b, (F.col("s.page") == F.col("b.page")) & inside("s", "b", slack), "left")
+    return met.groupBy(F.col("s.page").alias("page"), F.col("s.line").alias("line")).agg(F.min_by(F.col("b.block"), F.struct(size.alias("z"), "b.block")).alias("block"))

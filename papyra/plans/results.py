@@ -224,3 +224,60 @@ def rule_ledger(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) FILTER (WHERE l_quantity > 40) AS large, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_linenumber = 1) AS first FROM lineitem")
 def quality_counters(spark: SparkSession, d: str) -> DataFrame:
     return qa.flagged(_read(spark, d, "lineitem"), {"large": F.col("l_quantity") > 40, "returned": F.col("l_returnflag") == "R", "first": F.col("l_linenumber") == 1})
+
+
+def _unit_rows(docs: DataFrame) -> DataFrame:
+    """Pages as in _pos(); lines with bars are rows of one table a page."""
+    rows = _pos(docs)
+    bar = F.col("text").contains("|")
+    cells = rows.where(bar).select("doc_id", "page", F.col("page").alias("table"), F.col("k").alias("row"), "pos", F.posexplode(F.split("text", r"\|")).alias("col", "text"))
+    return _fv(cn.units_of(rows.where(~bar), cells), "unit", F.concat_ws("/", "kind", "clause", "heading", "text"))
+
+
+document_cases("built_units", _unit_rows, [
+    ("第一章 总则\n1.2|工期|30天\n|质保|2年\n--\n1.3.1 正文内容说明文字，完整", [("EU0001", "block//第一章 总则/第一章 总则"), ("EU0002", "row/1.2/第一章 总则/1.2 | 工期 | 30天"), ("EU0003", "row/1.2/第一章 总则/质保 | 2年"), ("EU0004", "block/1.3.1/第一章 总则/1.3.1 正文内容说明文字，完整")]),
+])
+_FACETS = [("c", "COST", "费用"), ("a", "ACCEPT", "验收")]
+document_cases("atom_facets", lambda d: _fv(cn.facets(cn.classified(_atom_rows(d), [cn.ConcernRule("ACCEPT", all_of=("合格",))]), _FACETS), "atom", "concern"), [("含费用，经验收", [("A100.c", "COST"), ("A100.a", "ACCEPT")]), ("含费用，经验收\n合格", [("A100.c", "COST")]), ("其他", [])])
+
+
+def _owned(docs: DataFrame) -> DataFrame:
+    rows = _atom_rows(docs).withColumn("id", F.col("n"))
+    found = cn.numbers(rows.select("doc_id", "id", "text"), [cn.Role("MONEY", "元"), cn.Role("SPAN", "天|年")])
+    members = cn.classified(rows, _CONCERNS).select("doc_id", "concern", "id")
+    return _fv(cn.owned_numbers(found, members, [("BOND", "MONEY"), ("UNCLASSIFIED", "SPAN")]), "concern", F.array_join("numbers", ","))
+
+
+document_cases("owned_numbers", _owned, [("保证金5万元，30天\n保函5万元和6万元\n工期9天", [("BOND", "MONEY:5万元,MONEY:6万元"), ("UNCLASSIFIED", "SPAN:9天")]), ("保函30天", [])])
+document_cases("rendered_points", lambda d: _fv(cn.rendered(cn.classified(_atom_rows(d), _CONCERNS), {"BOND": "Check the bond: {text} (page {page}, {clause})"}), "atom", "rendered"), [("1.2 保证金", [("A100", "Check the bond: 1.2 保证金 (page 1, 1.2)")]), ("其他{text}", [("A100", "其他{text}")])])
+
+
+def _primary(docs: DataFrame) -> DataFrame:
+    rows = cn.classified(_atom_rows(docs), _CONCERNS).withColumn("mandatory", F.col("text").contains("必须"))
+    return _fv(cn.primary_sources(rows, {"BOND": ("保证金", "金额")}), "concern", F.concat_ws("/", "atom", "members"))
+
+
+document_cases("primary_sources", _primary, [("提交保函\n保证金金额\n必须交保证金5元", [("BOND", "A101/3")]), ("保证金一\n必须交保证金二", [("BOND", "A101/2")]), ("保证金一\n保证金5元", [("BOND", "A101/2")]), ("甲\n乙", [("UNCLASSIFIED", "A100/2")])])
+
+_REL = {"doc_id": "o_custkey", "id": "o_orderkey", "concern": "CASE o_orderkey % 3 WHEN 0 THEN 'NAME' WHEN 1 THEN 'SEGMENT' ELSE 'OTHER' END", "atom": "o_orderkey"}
+
+
+@query(f"""WITH i AS ({_sql('orders', _REL)}), f AS (SELECT c_custkey AS doc_id, 'name' AS field, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer WHERE c_custkey % 2 = 0), x AS (SELECT *, CASE concern WHEN 'NAME' THEN 'name' WHEN 'SEGMENT' THEN 'segment' END AS field FROM i)
+SELECT x.doc_id, x.id, x.concern, x.field, f.value AS fact, CASE WHEN x.id % 5 = 0 THEN 'D' || x.id END AS decision FROM x LEFT JOIN f ON f.doc_id = x.doc_id AND f.field = x.field""")
+def related_items(spark: SparkSession, d: str) -> DataFrame:
+    c = _read(spark, d, "customer")
+    facts = c.selectExpr("c_custkey doc_id", "'name' field", "c_name value", "'RESOLVED' status").unionByName(c.selectExpr("c_custkey doc_id", "'segment' field", "c_mktsegment value", "CASE WHEN c_custkey % 2 = 0 THEN 'RESOLVED' ELSE 'NOT_FOUND' END status"))
+    decisions = _read(spark, d, "orders").where("o_orderkey % 5 = 0").selectExpr("o_custkey doc_id", "o_orderkey atom", "concat('D', o_orderkey) value")
+    return cn.related(_made(spark, d, "orders", _REL), facts, decisions, {"NAME": "name", "SEGMENT": "segment"})
+
+
+_LINE = {"page": "o_custkey", "line": "o_orderkey", "x0": "o_orderkey % 50 + 2", "x1": "o_orderkey % 50 + 6", "y0": "o_orderkey % 30 + 2", "y1": "o_orderkey % 30 + 4"}
+_IN = {"page": "o_custkey", "block": "o_orderkey", "x0": "o_orderkey % 40", "x1": "o_orderkey % 40 + 30", "y0": "o_orderkey % 20", "y1": "o_orderkey % 20 + 15 + o_orderkey % 5"}
+
+
+@query(f"""WITH s AS ({_sql('orders', _LINE, 'o_orderkey % 2 = 1')}), b AS ({_sql('orders', _IN, 'o_orderkey % 2 = 0')}), m AS (SELECT s.page, s.line, b.block, row_number() OVER (PARTITION BY s.page, s.line ORDER BY (b.x1 - b.x0) * (b.y1 - b.y0), b.block) AS k FROM s JOIN b ON s.page = b.page AND s.x0 >= b.x0 - 1 AND s.y0 >= b.y0 - 1 AND s.x1 <= b.x1 + 1 AND s.y1 <= b.y1 + 1)
+SELECT s.page, s.line, m.block FROM s LEFT JOIN m ON m.page = s.page AND m.line = s.line AND m.k = 1""")
+def lines_of_blocks(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.operators import geometry as ge
+
+    return ge.lines_of_blocks(_made(spark, d, "orders", _LINE, "o_orderkey % 2 = 1"), _made(spark, d, "orders", _IN, "o_orderkey % 2 = 0"))

@@ -99,6 +99,24 @@ def test_section_counts_beyond_ascii(spark, docs):
         assert (got[i].n_tokens, got[i].section_tokens, got[i].n_crossing) == (len(enc.ids), counts, crossing), text[:40]
 
 
+def test_field_counts(spark):
+    """Tokens of fields that are encoded together, by the first byte of each; they add up to the whole text's."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    rows = [(1, "A title", "the body\nof it", "x"), (2, None, "日本 text", "y"), (3, "", "", None), (4, "end ", " begin", "z")]
+    df = spark.createDataFrame(rows, "doc_id int, title string, text string, _whole string")
+    got = tokencount.field_counts(df, tokenizer_path(), ["title", "text"])
+    assert got.columns == [*df.columns, "field_tokens"]
+    for r in got.collect():
+        a, b = r.title or "", r.text or ""
+        enc = t.encode(f"{a}\n{b}", add_special_tokens=False)
+        size = [len(bytes(bpe.byte_letters()[c] for c in x)) for x in enc.tokens]
+        begins = np.cumsum([0, *size[:-1]])
+        want = {"title": int((begins <= len(a.encode())).sum()), "text": int((begins > len(a.encode())).sum())}
+        assert r.field_tokens == want and sum(want.values()) == len(enc.ids)
+
+
 def dice(a, b, n):
     x, y = ({t[i : i + n] for i in range(len(t) - n + 1)} for t in (a, b))
     return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0

@@ -230,3 +230,13 @@ def bold_by_stroke(traces: DataFrame, spans: DataFrame, dy: float = 0.6, share:
     met = p.join(drawn, (F.col("p.page") == F.col("d.page")) & (F.abs(F.col("p.y0") - F.col("d.y0")) <= dy) & (F.col("d.a") < F.col("p.x1")) & (F.col("d.b") > F.col("p.x0")))
     over = F.least("p.x1", "d.b") - F.greatest("p.x0", "d.a")
     return met.groupBy(F.col("p.page").alias("page"), F.col("p.id").alias("id"), (F.col("p.x1") - F.col("p.x0")).alias("w")).agg(F.sum(over).alias("c")).where((F.col("w") > 0) & (F.col("c") >= share * F.col("w"))).select("page", "id")
+
+
+def write_documents(items: DataFrame, target: str) -> None:
+    """The items of rendered_lines() as two outputs in ``target``: ``normalized``, a JSON object for each document with its items in order, and ``lines``, a text file a document."""
+    each = items.select("doc_id", F.struct(*(c for c in items.columns if c != "doc_id")).alias("item"))
+    whole = each.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("item.pos").alias("p"), F.to_json("item").alias("j")))), lambda x: x["j"]).alias("items"))
+    body = F.concat(F.lit('{"doc_id":'), F.col("doc_id").cast("string"), F.lit(',"items":['), F.array_join("items", ","), F.lit("]}"))
+    whole.select(body.alias("value")).write.mode("overwrite").text(f"{target}/normalized")
+    lines = rendered_lines(items).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    lines.write.mode("overwrite").partitionBy("doc_id").text(f"{target}/lines")

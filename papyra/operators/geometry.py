@@ -185,3 +185,20 @@ def lines_of_blocks(lines: DataFrame, blocks: DataFrame, slack: float = 1.0) ->
     size = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0"))
     met = s.join(b, (F.col("s.page") == F.col("b.page")) & inside("s", "b", slack), "left")
     return met.groupBy(F.col("s.page").alias("page"), F.col("s.line").alias("line")).agg(F.min_by(F.col("b.block"), F.struct(size.alias("z"), "b.block")).alias("block"))
+
+
+def source_fragments(blocks: DataFrame, cells: DataFrame, tables: DataFrame, slack: float = 1.0) -> DataFrame:
+    """Fragments of a document: blocks whose middle lies in no table of their page, and cells with their row as context, each place once.
+
+    ``blocks`` has doc_id, page, pos, box, text; ``cells`` doc_id, page, table, row, col, pos, text; ``tables`` doc_id, page, box. Texts
+    without characters are left out.
+    """
+    b, t = blocks.alias("b"), tables.alias("t")
+    mid = lambda lo, hi: (F.col(f"b.{lo}") + F.col(f"b.{hi}")) / 2
+    held = mid("x0", "x1").between(F.col("t.x0") - slack, F.col("t.x1") + slack) & mid("y0", "y1").between(F.col("t.y0") - slack, F.col("t.y1") + slack)
+    free = b.join(t, (F.col("b.doc_id") == F.col("t.doc_id")) & (F.col("b.page") == F.col("t.page")) & held, "left_anti")
+    row = Window.partitionBy("doc_id", "page", "table", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    context = F.array_join(F.filter(F.transform(F.collect_list("text").over(row), lambda x: F.trim(x)), lambda x: x != ""), " | ")
+    every = free.select("doc_id", "page", "pos", "text", F.lit("").alias("context"), F.lit("block").alias("kind")).unionByName(cells.select("doc_id", "page", "pos", "text", context.alias("context"), F.lit("cell").alias("kind")))
+    first = Window.partitionBy("doc_id", "pos").orderBy("kind", "text")
+    return every.where(tx.squeezed(F.col("text")) != "").withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")

@@ -281,3 +281,33 @@ def lines_of_blocks(spark: SparkSession, d: str) -> DataFrame:
     from papyra.operators import geometry as ge
 
     return ge.lines_of_blocks(_made(spark, d, "orders", _LINE, "o_orderkey % 2 = 1"), _made(spark, d, "orders", _IN, "o_orderkey % 2 = 0"))
+
+_BLK = {"doc_id": "o_custkey", "page": "o_orderkey % 2", "pos": "o_orderkey", "x0": "o_orderkey % 30", "x1": "o_orderkey % 30 + 10", "y0": "o_orderkey % 50", "y1": "o_orderkey % 50 + 4", "text": "CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE o_orderpriority END"}
+_TBL = {"doc_id": "o_custkey", "page": "o_orderkey % 2", "x0": "0", "x1": "25", "y0": "o_orderkey % 40", "y1": "o_orderkey % 40 + 6"}
+_CELL = {"doc_id": "o_custkey", "page": "o_orderkey % 2", "table": "0", "row": "o_orderkey % 3", "col": "o_orderkey", "pos": "o_orderkey + CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 10000000 END", "text": "concat(' ', o_orderstatus)"}
+_QCELL = {(f'"{k}"' if k in ("table", "row") else k): v for k, v in _CELL.items()}
+
+
+@query(f"""WITH b AS ({_sql('orders', _BLK)}), t AS ({_sql('orders', _TBL, 'o_orderkey % 5 = 0')}), c AS ({_sql('orders', _QCELL, 'o_orderkey % 2 = 0')}),
+f AS (SELECT doc_id, page, pos, text, '' AS context, 'block' AS kind FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = b.doc_id AND t.page = b.page AND (b.x0 + b.x1) / 2 BETWEEN t.x0 - 1 AND t.x1 + 1 AND (b.y0 + b.y1) / 2 BETWEEN t.y0 - 1 AND t.y1 + 1)
+UNION ALL SELECT doc_id, page, pos, text, string_agg(trim(text, ' '), ' | ') OVER (PARTITION BY doc_id, page, "table", "row" ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 'cell' FROM c)
+SELECT doc_id, page, pos, text, context, kind FROM f WHERE replace(text, ' ', '') <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY kind, text) = 1""")
+def source_fragments(spark: SparkSession, d: str) -> DataFrame:
+    from papyra.operators import geometry as ge
+
+    cells = _read(spark, d, "orders").where("o_orderkey % 2 = 0").selectExpr(*(f"{x} as `{n}`" for n, x in _CELL.items()))
+    return ge.source_fragments(_made(spark, d, "orders", _BLK), cells, _made(spark, d, "orders", _TBL, "o_orderkey % 5 = 0"))
+
+
+def _retrieval(docs: DataFrame) -> DataFrame:
+    from papyra.operators import evidence as ev
+    from papyra.plans.clauses import RULES, WORDS, _paged
+
+    rows = _paged(docs)
+    top = ev.scored(rows, RULES, WORDS)
+    states = ev.states(ev.pruned(top, WORDS), top, docs.select(F.col("doc_id").alias("key")), RULES, rows, WORDS, elsewhere=("R3",))
+    out = ev.retrieval_stats(states, top).withColumnRenamed("key", "doc_id")
+    return _fv(out, F.lit("stats"), F.concat_ws("/", "found", "several", "review", "missing", "hits"))
+
+
+document_cases("retrieval_stats", _retrieval, [("投标人必须在截止时间前提交投标保证金，金额为五万元整。", [("stats", "1/0/0/2/1")]), ("联合体示例，必须按照格式填写下面的各个表格。", [("stats", "0/0/1/2/1")]), (None, [("stats", "0/0/0/3/0")])])

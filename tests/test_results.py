@@ -49,3 +49,13 @@ def test_ledger_and_proposals_on_odd_rows(spark):
     items = spark.createDataFrame([(1, "docx_paragraph", None, 3, None, None, None, "工期 90天"), (1, "pdf_block", 1, 3, None, None, None, "x")], item)
     claims = spark.createDataFrame([(1, "docx_paragraph", None, 3, None, None, None, "f", "90天", "工期90天"), (1, "pdf_block", 1, 3, None, None, None, "f", "y", None), (None, "pdf_block", 1, 3, None, None, None, "f", "x", "x")], item.replace("text string", "field string, value string, evidence string"))
     assert sorted(r.verdict for r in dl.judged_proposals(claims, items, lambda f, t: t).collect()) == ["accepted", "evidence is not there", "no such place"]
+
+
+def test_documents_are_written_as_json_and_lines(spark, tmp_path):
+    item = "doc_id int, pos int, kind string, page int, block int, table int, row int, col int, text string"
+    items = spark.createDataFrame([(1, 2, "pdf_block", 1, 1, None, None, None, "b\nc"), (1, 1, "pdf_block", 1, 0, None, None, None, "a"), (2, 1, "docx_table_cell", None, None, 0, 0, 0, None)], item)
+    dl.write_documents(items, f"file://{tmp_path}/out")
+    whole = {x["doc_id"]: x["items"] for x in (json.loads(r.value) for r in spark.read.text(f"file://{tmp_path}/out/normalized").collect())}
+    assert [i["text"] for i in whole[1]] == ["a", "b\nc"] and len(whole[2]) == 1
+    lines = spark.read.text(f"file://{tmp_path}/out/lines").collect()
+    assert {(r.doc_id, r.value) for r in lines} == {(1, "[PDF:P:1:B:0] a"), (1, "[PDF:P:1:B:1] b\\nc"), (2, "[DOCX:T:0:R:0:C:0] ")}

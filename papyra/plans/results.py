@@ -311,3 +311,17 @@ def _retrieval(docs: DataFrame) -> DataFrame:
 
 
 document_cases("retrieval_stats", _retrieval, [("投标人必须在截止时间前提交投标保证金，金额为五万元整。", [("stats", "1/0/0/2/1")]), ("联合体示例，必须按照格式填写下面的各个表格。", [("stats", "0/0/1/2/1")]), (None, [("stats", "0/0/0/3/0")])])
+
+
+def _tender_index(docs: DataFrame) -> DataFrame:
+    from papyra.functions.lexicons import TENDERS
+
+    units = rq.index(docs.select("doc_id", F.lit(0).alias("pos"), "text"), TENDERS)
+    return _fv(units, "id", F.concat_ws("|", "type", "mandatory", "high_risk", F.array_join("markers", ","), "clause", F.array_join("merged", ",")))
+
+
+document_cases("tender_requirements", _tender_index, [
+    ("3.4.2 供应商不按本章第3.4.1项要求提交响应保证金的，评审小组将否决其响应。", [("SR0001", "REJECTION|false|true|否决|3.4.2|")]), ("投标人必须提供营业执照。投标人必须 提供营业执照。", [("SR0001", "OTHER|true|false|必须,须提供||SR0002")]),
+    ("评标委员会应当推荐三名候选人。", []), ("评标委员会应当要求投标人说明理由。", [("SR0001", "OTHER|true|false|应当||")]), ("目录....1", []), ("失信被执行人、经营异常名录中的单位，不得存在下列情形。", [("SR0001", "REJECTION|true|false|不得||")]),
+    ("代理机构应当公告结果信息。", []), ("质保期不少于24个月；", [("SR0001", "OTHER|true|false|不少于||")]),
+])

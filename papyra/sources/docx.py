@@ -68,8 +68,8 @@ def elements(content: bytes) -> Iterator[tuple]:
                 yield "cell", table, i, j, None, text
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of every file under ``path`` (a file, folder or pattern that Spark reads).
+def read_docx(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """Elements of every file under ``path`` whose name fits ``names`` (a file, folder or pattern that Spark reads).
 
     A file that can't be read gives one row with status FAILED and no text; one without text gives OCR_REQUIRED.
     Other rows are OK. Spark's reader passes over files of no bytes: these give no row. Files are read whole, one at a time in each task.
@@ -89,7 +89,7 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
                     found = [("FAILED", *[None] * 7)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((name, *x) for x in found), strict=True), arrow, strict=True)], schema=arrow)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, kind)
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("path", "content").mapInArrow(run, kind)
 
 
 def fragments(rows: DataFrame) -> DataFrame:

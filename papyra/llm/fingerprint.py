@@ -170,19 +170,33 @@ def likeness(a: str, b: str, common: int | None = None) -> float:
 
 
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Keys a range that the bounds of ranges are chosen from.
-SAMPLED = 50
+#: The least hash of a text.
+_FIRST = -(1 << 63)
 
 
 def _before(cut: tuple[int | None, int]) -> Column:
-    """Whether a row (doc_id, mark) comes before a bound, by descending id with nulls last, then by mark."""
+    """Whether a row (doc_id, mark) comes before a bound, by descending id with nulls last, then by mark. Bounds of whole ids don't look at marks."""
     doc_id, mark = cut
-    least = F.col("mark") < mark
+    least = F.col("mark") < mark if mark > _FIRST else F.lit(False)
     if doc_id is None:
         return F.col("doc_id").isNotNull() | least
     return F.coalesce((F.col("doc_id") > doc_id) | ((F.col("doc_id") == doc_id) & least), F.lit(False))
 
 
+def bounds(docs: DataFrame, n: int) -> list[tuple[int | None, int]]:
+    """Ordered bounds of about ``n`` ranges: quantiles of the ids, and for ids that have more than a range's share of the rows even steps of the hash."""
+    total = docs.count()
+    if not total:
+        return []
+    quantiles = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
+    hot = docs.groupBy("doc_id").count().where(F.col("count") * n > total).collect()  # fewer than n rows
+    cuts = {(i, _FIRST) for i in quantiles} | {(r["doc_id"], _FIRST) for r in hot}
+    for doc_id, count in hot:
+        parts = -(-count * n // total)
+        cuts |= {(doc_id, _FIRST + k * (1 << 64) // parts) for k in range(1, parts)}
+    return sorted(cuts, key=lambda c: (c[0] is None, -(c[0] or 0), c[1]))
+
+
 def _range_of(cuts: list[tuple[int | None, int]], low: int, high: int) -> Column:
     """The number of a row's range among ordered bounds, by a tree of tests as deep as the logarithm of their number."""
     if low == high:
@@ -195,26 +209,22 @@ def compare(documents: DataFrame) -> DataFrame:
     """The fingerprint of every row of ``documents`` (doc_id, text), of its edited text, and how near the next row's is.
 
     The edited text has its last third (rounded down) replaced by the beginning of the next row's text, by descending
-    doc_id; the last row is followed by the first. Rows go to ranges of (doc_id, hash of the text), whose bounds come from a bounded
-    sample of these keys; the first row of each range goes to the range before as well, so that each range knows what follows it.
+    doc_id; the last row is followed by the first. Rows go to ranges of (doc_id, hash of the text), whose bounds come from the ids;
+    the first row of each range goes to the range before as well, so that each range knows what follows it.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     n = max(2, partitions(spark))
-    share = min(1.0, SAMPLED * n / max(1, docs.count()))
-    keys = docs.select("doc_id", "mark").where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().collect()  # about SAMPLED a range
-    found = sorted((tuple(r) for r in keys), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-    cuts = [found[i * len(found) // n] for i in range(1, n)] if len(found) >= n else found[1:]
+    cuts = bounds(docs, n)
     placed = docs.withColumn("bucket", _range_of(cuts, 0, len(cuts)))
-    key = F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("k"), F.col("mark").alias("mark"), "doc_id")
-    firsts = placed.groupBy("bucket").agg(F.min(key).alias("f")).select("bucket", "f.doc_id", "f.mark").collect()  # a row a range
+    firsts = placed.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect()  # a row a range: its first id, null if it has no other
     order = sorted(firsts, key=lambda r: r["bucket"])
-    guests = [(r["bucket"], r["doc_id"], r["mark"], order[k - 1]["bucket"]) for k, r in enumerate(order)]  # the first range's goes to the last
-    at = spark.createDataFrame(guests, "bucket int, doc_id bigint, mark bigint, host int")
-    same = (F.col("p.bucket") == F.col("g.bucket")) & F.col("p.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("p.mark") == F.col("g.mark"))
+    guests = [(r["bucket"], r["doc_id"], order[k - 1]["bucket"]) for k, r in enumerate(order)]  # the first range's goes to the last
+    at = spark.createDataFrame(guests, "bucket int, doc_id bigint, host int")
+    same = (F.col("p.bucket") == F.col("g.bucket")) & F.col("p.doc_id").eqNullSafe(F.col("g.doc_id"))
     guest = (
-        placed.alias("p").join(F.broadcast(at.alias("g")), same)
-        .groupBy(F.col("g.host").alias("bucket"), F.col("p.doc_id").alias("doc_id"), F.col("p.mark").alias("mark")).agg(F.min("p.text").alias("text")).withColumn("guest", F.lit(1))
+        placed.alias("p").join(F.broadcast(at.alias("g")), same).groupBy(F.col("g.host").alias("bucket"), F.col("p.doc_id").alias("doc_id"))
+        .agg(F.min(F.struct("p.mark", "p.text")).alias("r")).select("bucket", "doc_id", "r.mark", "r.text", F.lit(1).alias("guest"))
     )
     columns = ["bucket", "guest", "doc_id", "mark", "text"]
     every = placed.withColumn("guest", F.lit(0)).select(*columns).unionByName(guest.select(*columns))

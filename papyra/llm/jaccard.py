@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from papyra.llm.common import SLICE, WordHashes, add_columns, discard, map_rows, mixed, rolled, tidy, written
+from papyra.llm.common import SLICE, WordHashes, discard, map_rows, mixed, rolled, tidy, written
 
 WORDS, PERCENT = 5, 80
 #: Seeds of the random orders, the first and the third.

@@ -5,8 +5,6 @@ Every join is on the document and page, with the geometry as a residue.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,10 +173,6 @@ def resolved_slots(slots: DataFrame, allowed: DataFrame, facts: DataFrame) -> Da
     return both.select("doc_id", "slot", "field", F.when(state == "FILLED", F.col("value")).alias("value"), state.alias("state"))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def lines_of_blocks(lines: DataFrame, blocks: DataFrame, slack: float = 1.0) -> DataFrame:
     """Each line (page, line, box) with the block (page, block, box) that holds it, widened by ``slack``; of several the smallest, then the first."""
     s, b = lines.alias("s"), blocks.alias("b")

@@ -87,6 +87,7 @@ def hits(text: Column, words: tuple[str, ...] | list[str]) -> Column:
 
 # Shapes of fragments.
 
+# Dot leaders, numerals of titles.
 _LEADER = r"(?:[.]{3,}|…{2,}|．{3,})"
 _NUMERAL = "0-9零〇一二三四五六七八九十百千万"
 

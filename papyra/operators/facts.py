@@ -222,6 +222,7 @@ def title(rows: DataFrame, field: Field, endings: tuple[str, ...], never: tuple[
     return _of(found.select("doc_id", F.lit(field.name).alias("field"), "pos", own.alias("value"), F.col("text").alias("evidence")), [field], "title")
 
 
+# Fixed value: how a lot is named.
 _LOT = "(?<![同每各])(?:第[一二三四五六七八九十百零〇0-9]{1,3}标段|[一二三四五六七八九十百零〇0-9]{1,3}标段)"
 
 

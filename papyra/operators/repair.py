@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from papyra.functions import text as tx
 
 
+# What shows that a clause has been cut, by its beginning without white space.
+INCOMPLETE = ("^[》〉】）)\\]」”’]", "^[^，。；;：:]{0,6}》[^，。；;]{0,20}(?:规定|通知|标准|办法|意见)", "^(?:缴纳账|其中|以及|并且|或者)")
+
+
 def without_repeats(text: Column, rounds: int = 2) -> Column:
     """A short phrase that stands twice or more in a row, blanks between, once: a word doubled where its line was wrapped."""
     out = text
@@ -68,7 +72,7 @@ def numeric_fragment(text: Column) -> Column:
 def is_incomplete(text: Column) -> Column:
     """What extraction left of a clause: it begins with a closing bracket, with the end of a cited title, or with a word that joins."""
     own = tx.squeezed(text)
-    return own.rlike("^[》〉】）)\\]」”’]") | own.rlike("^[^，。；;：:]{0,6}》[^，。；;]{0,20}(?:规定|通知|标准|办法|意见)") | own.rlike("^(?:缴纳账|其中|以及|并且|或者)")
+    return reduce(lambda x, y: x | y, (own.rlike(p) for p in INCOMPLETE))
 
 
 def is_internal(text: Column, subjects: str, themes: str, duties: str) -> Column:

@@ -32,7 +32,8 @@ class Lexicon(NamedTuple):
     risks: tuple[tuple[str, str], ...] = ()
 
 
-# Marks of emphasis; kinds of values with their units; characters that end a sentence or leave it open.
+# Marks of emphasis; kinds of values with their units and the dates that are none; characters that end a sentence;
+# forms of clause numbers, in order; titles, marked clauses and rows of front tables; lengths.
 MARKS = "*★▲◆●"
 VALUE_KINDS = (
     ("money", r"[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:万元|元)"),
@@ -42,13 +43,17 @@ VALUE_KINDS = (
     ("score", r"[0-9]+(?:\.[0-9]+)?\s*分(?!值)"),
 )
 SCORING = ("得分", "评分", "分值", "扣分", "加分", "技术分", "商务分", "价格分", "评审分", "总分")
-ENDS, OPEN = "。；;！!?", "：:，,、"
+ENDS = "。；;！!?"
 DATES = (r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月(?:\s*[0-9]{1,2}\s*日)?", r"[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日", r"[0-9]{1,2}\s*[:：]\s*[0-9]{2}", r"[0-9]{1,2}\s*时\s*[0-9]{1,2}\s*分?")
 
+CLAUSE_FORMS = (r"\b(A[0-9]+(?:\.[0-9]+)*)\b", r"第\s*([0-9]+(?:\.[0-9]+)*)\s*条", r"^([0-9]+(?:\.[0-9]+){1,4})", "^([一二三四五六七八九十百]{1,3}[、.．])", r"^([（(]\s*[0-9]{1,3}\s*[）)])")
+CHAPTER = "第[一-龥0-9]{1,3}[章节篇部分条]"
+TITLE = r"^(?:第[一二三四五六七八九十百千万零〇0-9]+[章节篇部分]|[一二三四五六七八九十百千万]{1,3}[、.．)]|[0-9]+(?:\.[0-9]+)*[、.．)])?[^。；;：:]{0,26}$"
+MARKED = r"(?U)^\s*[*★]\s*(?:[0-9]+(?:\.[0-9]+)*|[一-鿿])"
+FRONT_ROW = r"(?U)^\s*[*★]?\s*[0-9]+(?:\.[0-9]+)+\s+\S{1,12}\s+\S{1,12}\s*$"
+JOINED_CHARS, GAP, TITLE_CHARS, LEAST_CHARS, TAIL_CHARS = 600, 25, 60, 6, 10
+
 _CUT = "\u001e"
-_CHAPTER = "第[一-龥0-9]{1,3}[章节篇部分条]"
-#: The most characters to which fragments are joined; a fragment that reaches it takes up no other.
-JOINED_CHARS, GAP = 600, 25
 
 
 def ends_sentence(text: Column) -> Column:
@@ -95,12 +100,12 @@ def clauses(text: Column) -> Column:
     body = F.regexp_replace(text, rf"(?U)^\s*[{MARKS}]\s*", "")
     cut = F.regexp_replace(body, "([。；;\n])", f"$1{_CUT}")
     cut = F.regexp_replace(cut, rf"(?U)(?<!第)(?<!第\s)(?=A[0-9]{{1,2}}\.[0-9]{{1,2}})|(?<![0-9.第])(?<!第\s)(?=[0-9]{{1,2}}(?:\.[0-9]{{1,2}}){{1,3}}\s*[一-鿿（(])", _CUT)
-    cut = F.regexp_replace(cut, rf"(?U)(?<=\S)\s+({_CHAPTER}\s*)(?={_CUT}|$)", f"{_CUT}$1")
+    cut = F.regexp_replace(cut, rf"(?U)(?<=\S)\s+({CHAPTER}\s*)(?={_CUT}|$)", f"{_CUT}$1")
     pieces = F.filter(F.transform(F.split(cut, _CUT), lambda x: F.trim(x)), lambda x: tx.squeezed(x) != "")
-    title = rf"^(?:{_CHAPTER}|[一二三四五六七八九十]+[、.]\s*\S{{0,30}})$"
+    title = rf"^(?:{CHAPTER}|[一二三四五六七八九十]+[、.]\s*\S{{0,30}})$"
 
     def merge(acc: Column, x: Column) -> Column:
-        short = (F.size(acc) > 0) & (F.char_length(tx.collapsed(x)) < 10) & ~x.rlike(title)
+        short = (F.size(acc) > 0) & (F.char_length(tx.collapsed(x)) < TAIL_CHARS) & ~x.rlike(title)
         joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(acc, -1), x)))
         return F.when(short, joined).otherwise(F.concat(acc, F.array(x)))
 
@@ -136,10 +141,6 @@ def extracted_values(text: Column, most: int = 12) -> Column:
     return tx.let(masked, found)
 
 
-#: Forms of a clause number, in order.
-CLAUSE_FORMS = (r"\b(A[0-9]+(?:\.[0-9]+)*)\b", r"第\s*([0-9]+(?:\.[0-9]+)*)\s*条", r"^([0-9]+(?:\.[0-9]+){1,4})", "^([一二三四五六七八九十百]{1,3}[、.．])", r"^([（(]\s*[0-9]{1,3}\s*[）)])")
-
-
 def clause_number(text: Column) -> Column:
     """A clause's own number, without a mark of emphasis before it; empty without one."""
     own = F.regexp_replace(text, rf"(?U)^\s*[{MARKS}]\s*", "")
@@ -207,13 +208,13 @@ def judged(fragments: DataFrame, lex: Lexicon) -> DataFrame:
     has = lambda c: F.size(c) > 0
     words = tuple(dict.fromkeys(w.lower() for _, _, ws in lex.topics for w in ws))
     asks = has("strong") | has("mandatory") | has("values") | criteria | (tx.contains_any(F.lower(text), words) & tx.contains_any(text, lex.verbs))
-    marked = F.col("raw").rlike(r"(?U)^\s*[*★]\s*(?:[0-9]+(?:\.[0-9]+)*|[一-鿿])")
-    headed = (F.char_length(text) <= 60) & ~text.rlike("[。；;！]$") & text.rlike(r"^(?:第[一二三四五六七八九十百千万零〇0-9]+[章节篇部分]|[一二三四五六七八九十百千万]{1,3}[、.．)]|[0-9]+(?:\.[0-9]+)*[、.．)])?[^。；;：:]{0,26}$")
+    marked = F.col("raw").rlike(MARKED)
+    headed = (F.char_length(text) <= TITLE_CHARS) & ~text.rlike("[。；;！]$") & text.rlike(TITLE)
     kind = type_of(text, has("strong"), lex)
-    front = F.col("raw").rlike(r"(?U)^\s*[*★]?\s*[0-9]+(?:\.[0-9]+)+\s+\S{1,12}\s+\S{1,12}\s*$")
+    front = F.col("raw").rlike(FRONT_ROW)
     reason = (
         F.when(F.col("nav") | tx.contains_any(text, lex.navigation), "navigation").when(text == "", "short")
-        .when(~asks & F.coalesce(marked, F.lit(False)) & (F.char_length(text) >= 6), "rescued").when(~asks, "heading").when(F.char_length(text) < 6, "short")
+        .when(~asks & F.coalesce(marked, F.lit(False)) & (F.char_length(text) >= LEAST_CHARS), "rescued").when(~asks, "heading").when(F.char_length(text) < LEAST_CHARS, "short")
         .when(~has("strong") & ~has("values") & ~criteria & headed & ~(F.coalesce(marked, F.lit(False)) & ~front), "heading")
         .when((kind == "OTHER") & ~has("strong") & ~criteria & binds_only(text, lex.buyers, lex.bidders), "procedural").otherwise("kept")
     )

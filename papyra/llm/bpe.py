@@ -26,7 +26,7 @@ from papyra.llm.common import add_columns_by, free_names
 #: The split pattern of byte-level vocabularies. Fixed value: it has to equal the library's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that an encoder remembers (about 200 bytes each) within a task and between tasks, and the longest of them.
-KEPT, RESTING, KEPT_CHARS = 500_000, 100_000, 48
+KEPT, RESTING, KEPT_CHARS = 300_000, 100_000, 48
 #: Characters of a long text that are chunks at one time.
 LONG = 1_000_000
 _AWKWARD = re.compile(r" (?:\s|$)")
@@ -222,13 +222,13 @@ class Loaded:
 
 
 #: Rows and bytes of text that are encoded together.
-ROWS, BYTES = 4096, 2 << 20
+ROWS, BYTES = 4096, 1 << 20
 
 
 def encoded(documents: DataFrame, tokenizer: str, inputs: list[str], use: Callable[[Bpe, list[tuple], list[bytes]], list[tuple]], schema: str) -> DataFrame:
     """``documents`` with columns that ``use`` makes of the encoder, rows of ``inputs`` (the last is the text) and their ids.
 
-    The vocabulary (a fixed file of ``tokenizer``, read on the driver) is broadcast. About two MB of text are Python strings at
+    The vocabulary (a fixed file of ``tokenizer``, read on the driver) is broadcast. About a MB of text is Python strings at
     one time, unless one row has more; of such a row a million characters are cut into chunks at one time.
     """
     held = documents.sparkSession.sparkContext.broadcast(spec(tokenizer))

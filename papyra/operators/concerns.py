@@ -104,14 +104,14 @@ def numbers(rows: DataFrame, roles: list[Role], window: int = 30) -> DataFrame:
 
 
 def tiers(text: Column) -> Column:
-    """(condition, score) of each numbered alternative of a scoring standard; none where fewer than two are numbered."""
+    """(condition, score) of each numbered alternative of a scoring standard; none where fewer than two are numbered, null of a null text."""
     marks = r"(?:^|(?<=[；;。：:\s）)]))[(（]?[0-9]{1,2}[)）、.．](?![0-9])"
     parts = F.split(F.regexp_replace(text, marks, "\u001e"), "\u001e")
     own = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     score = r"(?:的)?(?:得|计|为)\s*([0-9]+(?:\.[0-9]+)?)\s*分"
     pair = lambda s: F.struct(F.trim(F.btrim(F.regexp_extract(s, rf"^(.*?){score}", 1), F.lit(" 　，,；;：:。的"))).alias("condition"), F.concat(F.regexp_extract(s, score, 1), F.lit("分")).alias("score"))
     found = F.filter(F.transform(own, pair), lambda x: (x["condition"] != "") & (x["score"] != "分"))
-    return F.when(F.size(own) >= 2, found).otherwise(F.array().cast("array<struct<condition:string,score:string>>"))
+    return F.when(text.isNull() | (F.size(own) >= 2), found).otherwise(F.array().cast("array<struct<condition:string,score:string>>"))
 
 
 def unowned(shown: Column, owned: Column) -> Column:

@@ -74,6 +74,13 @@ def test_clause_operators_on_odd_rows(spark, odd):
     assert cn.atoms(odd.withColumn("id", F.lit("SR1"))).where("doc_id = 2").count() == 2
 
 
+def test_tiers_of_no_text(spark):
+    """A null text has no list of tiers; an empty one, or one without tiers, has an empty list."""
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, "1、只有一项得5分"), (3, "1、优得5分；2、良得3分")], "doc_id bigint, text string")
+    got = {r.doc_id: r.t for r in rows.select("doc_id", cn.tiers(F.col("text")).alias("t")).collect()}
+    assert got == {0: None, 1: [], 2: [], 3: [("优", "5分"), ("良", "3分")]}
+
+
 def test_reached_cap_takes_up_no_more(spark):
     rows = spark.createDataFrame([(1, k, "y" * n, 1, "block") for k, n in enumerate((300, 299, 1, 5, 700, 2))] + [(2, 0, "a：", 1, "block"), (2, 1, "b。", 1, "block"), (2, 2, "c", 1, "block"), (2, 3, "d", 3, "block"), (2, 40, "e", 3, "block")], "doc_id bigint, pos int, text string, page int, kind string")
     got = sorted((r.doc_id, r.pos, r.fragments) for r in rq.assembled(rows).collect())

@@ -38,6 +38,13 @@ def test_query(spark, duck, name):
     assert got == plain(theirs.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
+def test_scoring_tiers_with_nulls_apart(spark, duck):
+    """The comparison of all queries takes a null for an empty string; this one doesn't."""
+    got = {r.key: r.value for r in registry.queries()["scoring_tiers"](spark, SF).collect()}
+    assert got == dict(duck.sql(registry.oracle_sql()["scoring_tiers"]).fetchall())
+    assert None in got.values() and "" in got.values()
+
+
 def test_entry(spark):
     import __spark_entry__
 

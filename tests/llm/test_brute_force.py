@@ -199,6 +199,40 @@ def test_windows_decide_where_no_mark_does():
     assert text.startswith("Shop.") and htmltext.extract(page, surge=1).startswith("Home.")
 
 
+BODY = [f"Paragraph {k} of the body, which is long enough to count as text of the page that it is in." for k in range(4)]
+BODY_HTML = "".join(f"<p>{x}</p>" for x in BODY)
+AROUND = "<nav><a href=x>Home</a> now</nav>", "<aside><p>At the side.</p></aside><div id=comments><p>" + "I say so. " * 90 + "</p></div><footer>(c) all of us</footer>"
+
+
+@pytest.mark.parametrize("mark", ["<form id=aspnetForm>", "<div class=sidebar-layout>", "<form><div class='page header fixed'>", "<form>" * 12, "<header><div id=overlay>"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>"])
+def test_marks_around_a_whole_page_give_way_to_its_windows(mark, inner):
+    """The text within is found, and what is marked in there is left out as it is without the mark around it."""
+    page = AROUND[0] + inner.format(f"<h1>A title</h1>{BODY_HTML}<p>End.</p>") + AROUND[1]
+    assert htmltext.extract(f"{mark}{page}") == htmltext.extract(page) == "\n\n".join(["A title", *BODY, "End."])
+
+
+def test_places_beside_the_text_stay_out():
+    """No length of a place makes it text beside fuller windows, or without a headline; adverts and comments never are."""
+    title = "<h1>A title</h1>"
+    assert htmltext.extract(f"<article><p>Hi.</p></article><aside>{title}{BODY_HTML * 9}</aside>") == "Hi."
+    assert htmltext.extract(f"<p>A text of more than thirty characters.</p><div class=sidebar>{title}{BODY_HTML}</div>") == "A text of more than thirty characters."
+    for mark in ("nav", "aside", "footer", "form", "div class=widget"):
+        assert htmltext.extract(f"<{mark}>{BODY_HTML}</{mark.split()[0]}><p>Hi.</p>") == "Hi."
+    for mark in ("class=ad", "id=comments", "class='cookie banner'", "role=dialog", "hidden"):
+        assert htmltext.extract(f"<div {mark}>{title}{BODY_HTML}</div>") == ""
+    assert htmltext.extract(f"{AROUND[0]}<aside>{title}<p>{BODY[0]}</aside>{AROUND[1]}") == ""
+
+
+def test_windows_decide_on_the_given_pages(spark):
+    """On every page lines weigh something that no window lets through: without the windows they would be in the text."""
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        found = htmltext.lines(r.html or "")
+        weigh = [x.text for x, w in zip(found, htmltext.weights(found, htmltext.WINDOW, htmltext.SURGE, htmltext.LINKED), strict=True) if w]
+        text = htmltext.extract(r.html)
+        assert text and "\n\n".join(weigh) != text and set(text.split("\n\n")) < set(weigh)
+
+
 @pytest.mark.parametrize("page", ["<b " * 20_000 + '"', "<i>" * 20_000 + "</u>" * 20_000, "<b =\"" * 20_000, "<ul>" + "<b>" * 20_000 + "<li>" * 20_000])
 def test_pages_take_linear_time(page):
     import time
@@ -208,6 +242,14 @@ def test_pages_take_linear_time(page):
     assert time.process_time() - began < 2
 
 
+def test_nested_marks_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert htmltext.extract("<form>" * 10_000 + "<h1>T</h1>" + BODY_HTML) == "\n\n".join(["T", *BODY]) and htmltext.extract("<main>" * 20_000 + BODY_HTML) == "\n\n".join(BODY)
+    assert time.process_time() - began < 4
+
+
 def test_quotes_that_never_close():
     assert htmltext.extract('<p class="x>Hello</p><p>more</p>') == "Hello\n\nmore"
     assert htmltext.extract('<p title="a > b <i>">Hi</p>') == "Hi"

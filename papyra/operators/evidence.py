@@ -6,11 +6,14 @@ hits are exploded, and only then shuffled. Scores are rounded half up to three p
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import islice
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +92,9 @@ def scored(rows: DataFrame, rules: list[Rule], words: Words, top: int = TOP) ->
     for c, v in (("context", ""), ("section", ""), ("kind", "block")):
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v))
     every = F.array(*(_found(r, words) for r in rules))
-    each = rows.where("text is not null").select("doc_id", "pos", "text", "section", F.col("kind").alias("_kind"), F.explode(F.filter(every, lambda x: (x["direct"] > 0) | (x["around"] > 0))).alias("x"))
+    # The array is a column of its own: within the filter's expression generated code would not reach it.
+    each = rows.where("text is not null").select("doc_id", "pos", "text", "section", F.col("kind").alias("_kind"), every.alias("_every"))
+    each = each.select("doc_id", "pos", "text", "section", "_kind", F.explode(F.filter("_every", lambda x: (x["direct"] > 0) | (x["around"] > 0))).alias("x"))
     each = each.select("doc_id", "pos", "text", "section", "_kind", "x.*", tx.is_structural_heading(F.col("text")).alias("heading"), tx.contains_any(F.col("text"), words.operative).alias("operative"))
     c = F.col
     add = lambda flag, x: F.when(flag, x).otherwise(0.0)
@@ -123,7 +128,9 @@ def near_duplicate(a: str, b: str, contained: int = 18, alike: int = 28, ratio:
     short, long = sorted((a, b), key=len)
     if a == b or len(short) >= contained and short in long:
         return len(long) - len(short) <= max(45, int(0.35 * len(long)))
-    return len(short) >= alike and SequenceMatcher(None, a, b).ratio() >= ratio
+    # Neither the lengths nor the characters in common, whatever their order, leave less than the matching blocks.
+    both, least = len(a) + len(b), lambda n: 2.0 * n / both >= ratio
+    return len(short) >= alike and least(len(short)) and least((Counter(a) & Counter(b)).total()) and SequenceMatcher(None, a, b).ratio() >= ratio
 
 
 def contains_duplicate(a: Column, b: Column, contained: int = 18) -> Column:
@@ -133,7 +140,35 @@ def contains_duplicate(a: Column, b: Column, contained: int = 18) -> Column:
     return (a != "") & (b != "") & ((a == b) | inside)
 
 
-PRUNED = "doc_id bigint, rule string, pos int, final double, choice int, fate string"
+# Fates as codes, from 1 on the number of a choice.
+WEAK, DUPLICATE, REDUNDANT = 0, -1, -2
+
+
+def _fates(rows: list[tuple[float, str, list[str], bool]]) -> list[int]:
+    """The codes of one document's fragments for a rule (final, key, focus, rich), which come best first."""
+    seen: list[str] = []
+    chosen: list[tuple[set[str], bool]] = []
+    out = []
+    for final, key, focus, rich in rows:
+        own = set(focus)
+        if any(near_duplicate(key, k) for k in seen):
+            out.append(DUPLICATE)
+            continue
+        seen.append(key)
+        if final < max(LEAST, rows[0][0] - BAND) or len(chosen) >= MOST:
+            out.append(WEAK)
+        elif all(own and f and rich and r and 2 * len(own & f) < min(len(own), len(f)) for f, r in chosen):
+            chosen.append((own, rich))
+            out.append(len(chosen))
+        else:
+            out.append(REDUNDANT)
+    return out
+
+
+def _codes(groups: pa.Array) -> pa.Array:
+    sizes, each = pc.fill_null(pc.list_value_length(groups), 0).to_pylist(), groups.flatten()
+    rows = zip(*(pc.struct_field(each, f).to_pylist() for f in ("final", "key", "focus", "rich")), strict=True)
+    return pa.array([_fates(list(islice(rows, n))) for n in sizes], pa.list_(pa.int32()))
 
 
 def pruned(top: DataFrame, words: Words) -> DataFrame:
@@ -141,36 +176,19 @@ def pruned(top: DataFrame, words: Words) -> DataFrame:
 
     A second and third choice have to add something: another focus term (at most half in common with any chosen), at least 24
     characters, informative words, and another section or other words of focus. Greedy over at most ``TOP`` rows of one document and
-    rule, which the window before has bounded.
+    rule, which the window before has bounded: they become one array, and Python gets many arrays at once. A fragment alone needs none.
     """
-    informative = words.informative
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["final", "pos"], ascending=[False, True])
-        seen: list[str] = []
-        chosen: list[tuple[set, str, str]] = []
-        out = []
-        best = rows["final"].iloc[0]
-        for r in rows.itertuples():
-            own, text = set(r.focus), r.text
-            if any(near_duplicate(r.key, k) for k in seen):
-                fate = "duplicate"
-            else:
-                seen.append(r.key)
-                rich = len(text) >= 24 and any(w in text for w in informative)
-                adds = all(own and f and rich and len(t) >= 24 and any(w in t for w in informative) and 2 * len(own & f) < min(len(own), len(f)) for f, _, t in chosen)
-                if r.final < max(LEAST, best - BAND) or len(chosen) >= MOST:
-                    fate = "weak"
-                elif not adds:
-                    fate = "redundant"
-                else:
-                    fate = "kept"
-                    chosen.append((own, r.section, text))
-            out.append((r.doc_id, r.rule, r.pos, r.final, len(chosen) if fate == "kept" else 0, fate))
-        return pd.DataFrame(out, columns=["doc_id", "rule", "pos", "final", "choice", "fate"])
-
-    ready = top.where("eligible").select(F.col("doc_id").cast("bigint").alias("doc_id"), "rule", F.col("pos").cast("int").alias("pos"), "final", "focus", "section", tx.collapsed(F.col("text")).alias("text"), tx.key(F.col("text")).alias("key"))
-    return ready.groupBy("doc_id", "rule").applyInPandas(choose, PRUNED)
+    text = tx.collapsed(F.col("text"))
+    rich = (F.char_length(text) >= 24) & tx.contains_any(text, words.informative)
+    row = F.struct((-F.col("final")).alias("below"), F.col("pos").cast("int").alias("pos"), "final", tx.key(F.col("text")).alias("key"), "focus", rich.alias("rich"))
+    groups = top.where("eligible").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "rule").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    alone = F.array(F.when(F.col("rows")[0]["final"] < LEAST, WEAK).otherwise(1))
+    several = F.size("rows") > 1
+    codes = F.when(several, F.arrow_udf(_codes, "array<int>")(F.when(several, F.col("rows")))).otherwise(alone)
+    each = groups.select("doc_id", "rule", F.explode(F.arrays_zip(F.col("rows.pos").alias("pos"), F.col("rows.final").alias("final"), codes.alias("code"))).alias("x")).select("doc_id", "rule", "x.*")
+    code = F.col("code")
+    fate = F.when(code == WEAK, "weak").when(code == DUPLICATE, "duplicate").when(code == REDUNDANT, "redundant").otherwise("kept")
+    return each.select("doc_id", "rule", "pos", "final", F.greatest(code, F.lit(0)).alias("choice"), fate.alias("fate"))
 
 
 def states(fates: DataFrame, top: DataFrame, keys: DataFrame, rules: list[Rule], rows: DataFrame, words: Words, elsewhere: tuple[str, ...] = ()) -> DataFrame:

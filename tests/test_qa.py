@@ -1,8 +1,13 @@
 """Each check finds its violation and passes what is right; odd rows of the operators on clauses and geometry."""
 
+import random
+from collections import defaultdict
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
+from papyra.functions import text as tx
 from papyra.operators import concerns as cn
 from papyra.operators import criticality as cr
 from papyra.operators import evidence as ev
@@ -111,3 +116,54 @@ def test_geometry_on_odd_rows(spark):
     seg = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (1, 0.0, 5.5, 9.0), (1, 0.0, 20.0, 30.0), (1, 0.0, 1.0, 2.0), (1, 1.0, 0.0, 5.0)], "page int, y double, x0 double, x1 double")
     assert sorted((r.y, r.x0, r.x1, r.parts) for r in ge.merged_segments(seg, 1).collect()) == [(0.0, 0.0, 9.0, 3), (0.0, 20.0, 30.0, 1), (1.0, 0.0, 5.0, 1)]
     assert cr.schedule_rows(spark.createDataFrame([], "doc_id int, table int, row int, col int, page int, text string")).count() == 0
+
+
+def test_fates_without_a_call_of_python_for_each_group(spark):
+    """Many groups go to Python at once, a fragment alone doesn't need it, and each gets the fates of the plain greedy choice."""
+    rng = random.Random(7)
+    terms, long = ["保证金", "工期", "联合体", "必须"], "投标人按照本章规定的时间和方式向采购代理机构递交全部响应文件并且同时缴纳有关的费用"
+    rows = []
+    for doc in [None, -(2**53) - 1, *range(150)]:
+        for rule in ("R1", "R2"):
+            for pos in range(rng.choice([1, 1, 2, 5, 12])):
+                base = rng.choice([long, long[::-1], "提交保证金", "。，", long[:20]])
+                at = rng.randrange(len(base))
+                text = rng.choice([base, f" {base}！", base[:at] + rng.choice(["工期", "x", ""]) + base[at + 1 :], base + rng.choice(terms) + base[:at]])
+                rows.append((doc, rule, pos, text, round(rng.choice([3.5, 4.0, 6.0, 8.999, 9.0, rng.uniform(3, 12)]), 3), rng.sample(terms, rng.randrange(5)), rng.random() < 0.9))
+    rng.shuffle(rows)
+    top = spark.createDataFrame(rows, "doc_id bigint, rule string, pos int, text string, final double, focus array<string>, eligible boolean").withColumn("section", F.lit(""))
+    fates = ev.pruned(top, WORDS)
+    assert "FlatMapGroups" not in fates._jdf.queryExecution().executedPlan().toString()
+    assert fates.dtypes == [("doc_id", "bigint"), ("rule", "string"), ("pos", "int"), ("final", "double"), ("choice", "int"), ("fate", "string")]
+
+    def alike(a, b):
+        short, whole = sorted((a, b), key=len)
+        if a and b and (a == b or len(short) >= 18 and short in whole):
+            return len(whole) - len(short) <= max(45, int(0.35 * len(whole)))
+        return len(short) >= 28 and SequenceMatcher(None, a, b).ratio() >= 0.92
+
+    want, groups = {}, defaultdict(list)
+    keys = {(r.doc_id, r.rule, r.pos): (r.key, r.text) for r in top.select("doc_id", "rule", "pos", tx.key(F.col("text")).alias("key"), tx.collapsed(F.col("text")).alias("text")).collect()}
+    for doc, rule, pos, _, final, focus, eligible in rows:
+        if eligible:
+            groups[doc, rule].append((-final, pos, set(focus), *keys[doc, rule, pos]))
+    rich = lambda t: len(t) >= 24 and any(w in t for w in WORDS.informative)
+    for (doc, rule), group in groups.items():
+        seen, chosen = [], []
+        best = -min(group, key=lambda x: x[:2])[0]
+        for below, pos, own, key, text in sorted(group, key=lambda x: x[:2]):
+            if any(alike(key, k) for k in seen):
+                want[doc, rule, pos] = (0, "duplicate")
+                continue
+            seen.append(key)
+            if -below < max(4.0, best - 5.0) or len(chosen) >= 3:
+                want[doc, rule, pos] = (0, "weak")
+            elif all(own and f and rich(text) and rich(t) and 2 * len(own & f) < min(len(own), len(f)) for f, t in chosen):
+                chosen.append((own, text))
+                want[doc, rule, pos] = (len(chosen), "kept")
+            else:
+                want[doc, rule, pos] = (0, "redundant")
+    assert {f for _, f in want.values()} == {"kept", "weak", "duplicate", "redundant"} and max(n for n, _ in want.values()) > 1
+    got = fates.collect()
+    assert len(got) == len(want) and {(r.doc_id, r.rule, r.pos): (r.choice, r.fate) for r in got} == want
+    assert ev.pruned(top.where("false"), WORDS).count() == 0
